@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, simhash
+from gridwright.llm import bpe, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +26,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit_outside_fold(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", (toxicity.held_out("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL: dict[str, str] = {}
