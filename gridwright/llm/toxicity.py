@@ -13,7 +13,7 @@ they are. A worker remembers recent tokens; emptying that store changes the time
 from __future__ import annotations
 
 import gc
-import math
+import heapq
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -48,8 +48,7 @@ SWAP, DROP, GAP, ODD = 0.7, 0.4, 3.0, 6.0
 WAYS = 4
 
 CLASSES = 28  # 0: no letter, 1-26: a-z, 27: any other letter
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-ODD_INSIDE = re.compile(r"(?=.*[^\W\d_])[^\W\d_]*[0-9@$!|+(€£¡*а-яіѕοαι]", re.S)
+ODD_ONE = re.compile("[0-9@$!|+(€£¡*а-яіѕοαι]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 PIECED = re.compile(r"^[^\s](?:[.\-_*~'·]+[^\s.\-_*~'·]){2,}$")
@@ -100,7 +99,8 @@ class ToxicityModel:
             options.append(found)
             last = c
         spaced = any(c.isspace() for c in raw)
-        beam: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+        # a way: its cost, its number among its like, and the chain of its pieces from the last to the first
+        beam: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, 0, None)]}
         for found in options:
             after = defaultdict(list)
             for (a, b), ways in beam.items():
@@ -111,10 +111,18 @@ class ToxicityModel:
                     for x, y, more, gap in starts if piece else starts[:1]:
                         k = class_of(piece) if piece else y
                         step = price + more - (self.log_p[x, y, k] if piece else 0.0)
-                        after[(y, k) if piece else (x, y)] += [(cost + step, text + gap + piece) for cost, text in ways]
-            beam = {state: sorted(ways)[:WAYS] for state, ways in after.items()}
-        ended = sorted((cost - self.log_p[a, b, 0], text) for (a, b), ways in beam.items() for cost, text in ways)
-        return list(dict.fromkeys(text for _, text in ended))[:WAYS]
+                        into = after[(y, k) if piece else (x, y)]
+                        into += [(way[0] + step, len(into) + i, (gap + piece, way[2]) if piece else way[2]) for i, way in enumerate(ways)]
+            beam = {state: heapq.nsmallest(WAYS, ways) if len(ways) > 1 else ways for state, ways in after.items()}
+        texts = []
+        ended = [(way[0] - self.log_p[a, b, 0], i, way[2]) for (a, b), ways in beam.items() for i, way in enumerate(ways)]
+        for cost, _, chain in heapq.nsmallest(2 * WAYS, ended, key=lambda x: x[:2]):
+            pieces = []
+            while chain:
+                pieces.append(chain[0])
+                chain = chain[1]
+            texts.append((cost, "".join(reversed(pieces))))
+        return list(dict.fromkeys(text for _, text in sorted(texts)))[:WAYS]
 
     def restore(self, raw: str) -> str:
         return self.paths(raw)[0]
@@ -123,20 +131,29 @@ class ToxicityModel:
         """The words of a token without white space, restored where it looks odd."""
         bare = token.lower()
         if not bare.isalpha():
-            front = bare[0] in "@$!|(" and len(bare) > 1 and bare[1].isalpha()
-            bare = (bare[0] if front else "") + EDGE.sub("", bare)
+            lo, hi = 0, len(bare)
+            while hi and not bare[hi - 1].isalnum():
+                hi -= 1
+            while lo < hi and not bare[lo].isalnum():
+                lo += 1
+            bare = bare[lo - 1 if 0 < lo < hi and bare[lo - 1] in "@$!|(" else lo : hi]
         if bare.isalpha() and not REPEATED.search(bare) and bare.isascii():
             return [bare]
         found = LETTERS.findall(bare)
-        if ODD_INSIDE.search(bare) or REPEATED.search(bare) or PIECED.match(bare) or not bare.isascii() and any(c in LOOKALIKES for c in bare):
+        if not found:
+            return found
+        if ODD_ONE.search(bare) or REPEATED.search(bare) or PIECED.match(bare):
             for way in self.paths(bare)[::-1]:  # the likeliest last
                 found += LETTERS.findall(way)
         return found
 
+    def spelled(self, text: str) -> list[str]:
+        """The words of all runs of single characters with a letter among them."""
+        return LETTERS.findall(" ".join(way for run in set(SPELLED.findall(text)) if LETTERS.search(run) for way in self.paths(run)))
+
     def all_words(self, text: str) -> set[str]:
         found = {w for t in set(text.split()) for w in self.words(t)}
-        for run in SPELLED.findall(text):
-            found.update(LETTERS.findall(" ".join(self.paths(run))))
+        found.update(self.spelled(text))
         return found
 
     def restored_text(self, text: str) -> str:
@@ -166,8 +183,7 @@ class Scorer(dict):
 
     def score(self, text: str) -> float:
         found = set().union(*set(map(self.__getitem__, text.split())))
-        for run in SPELLED.findall(text):
-            found.update(self.hits(LETTERS.findall(" ".join(self.model.paths(run)))))
+        found.update(self.hits(self.model.spelled(text)))
         clean = 1.0 - self.model.base
         for f in sorted(found):
             clean *= 1.0 - self.model.entries[f]
