@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, contamination, simhash, toxicity
+from gridwright.llm import bpe, contamination, secrets, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,9 +37,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.fit(spark))
+    return found.select("doc_id", "start", F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score")
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op7_secrets": op7_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
