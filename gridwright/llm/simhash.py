@@ -193,3 +193,108 @@ def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
     least = linked.groupBy("component").agg(F.min("key").alias("least"))
     of_point = points.join(linked.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "key").alias("component_id"))
     return fps.join(of_point, "fp").select("doc_id", "fp", F.expr("nullif(component_id, -9223372036854775808L)").alias("component_id"))
+
+
+#: Points of a block when rings are compared; standard errors added to the distance that the similarity stands for.
+RING_BLOCK, MARGIN = 16_384, 1.0
+
+
+def wide_fingerprint(text: str, width: int) -> tuple[int, list[int]]:
+    """The number of shingles, and four fingerprints of 64 bits from as many mixes of the shingles' XXH64."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, [0, 0, 0, 0]
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths) - 1
+    n = max(1, len(words) - width + 1)
+    starts = (ends - lengths + 1)[:n].tolist()
+    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+    found = []
+    for k in range(4):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, n, 65_536):
+            part = hashes[at : at + 65_536]
+            if k:
+                part = (part ^ (part >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+                part = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                part ^= part >> np.uint64(32)
+            votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        found.append(int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0]))
+    return n, found
+
+
+def bits_for(similarity: float, bits: int, errors: float) -> int:
+    """The Hamming distance of fingerprints whose shingles have this Jaccard similarity, and so many standard errors."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + errors * math.sqrt(bits * share * (1 - share)))
+
+
+def similar(fps: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """fps: (points, 4). The smallest index linked to each point, over pairs that are near in all bits and in length."""
+    near, first = bits_for(similarity, 256, MARGIN), bits_for(similarity, 64, 3)
+    forest = Forest(len(fps))
+    lead = np.ascontiguousarray(fps[:, 0])
+    for at in range(0, len(fps), 256):
+        a, b = np.nonzero(distance(lead[at:], lead[at : at + 256, None]) <= first)
+        later = b > a
+        a, b = a[later] + at, b[later] + at
+        ok = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= near
+        forest.join(a[ok], b[ok])
+    forest.flatten()
+    return forest.up
+
+
+def similar_components(df: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, parts): doc key, text hash and node of each row; node and component of the nodes that are linked.
+
+    The first vantage point is the empty text, and the distance to it the logarithm of a text's shingles: texts that
+    are as similar as asked for lie in the same ring or in neighbouring ones, so each ring overlaps into the next. A
+    ring is compared in blocks of bounded size. Only spanning forests leave the blocks.
+    """
+    source = df.select(key_of(id).alias("_key"), F.xxhash64(text).alias("_hash"), text_of(text).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            found = [wide_fingerprint(t, width) for t in batch.column(2).to_pylist()]
+            fps = np.array([x for _, x in found], np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), *(pa.array(fps[:, k]) for k in range(4))], names=["_key", "_hash", "n", "f0", "f1", "f2", "f3"])
+
+    rows = source.mapInArrow(run, "_key long, _hash long, n long, f0 long, f1 long, f2 long, f3 long")
+    rows = settle(rows.withColumn("node", F.xxhash64("n", "f0", "f1", "f2", "f3")), "simhash-wide")
+    points = rows.select("node", "n", "f0", "f1", "f2", "f3").dropDuplicates(["node"])
+    ring = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log("n") / math.log(1 / similarity))).cast("int")
+    ringed = settle(points.withColumn("ring", F.explode(F.array(ring, ring + 1))), "simhash-rings")
+    parts_of = {r["ring"]: max(1, math.ceil(r["count"] / RING_BLOCK)) for r in ringed.groupBy("ring").count().collect()}
+    counts = F.create_map(*(F.lit(x) for kv in parts_of.items() for x in kv)) if parts_of else F.create_map(F.lit(0), F.lit(1))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), counts[F.col("ring")]).cast("int")
+    blocks = ringed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), counts[F.col("ring")] - 1)))
+    blocks = blocks.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    def forest(key, group):
+        group = group.sort_by("node")
+        fps = np.stack([group.column(f"f{k}").to_numpy().view(np.uint64) for k in range(4)], 1)
+        nodes = group.column("node").to_numpy()
+        top = similar(fps, group.column("n").to_numpy(), similarity)
+        tied = np.flatnonzero(top != np.arange(len(top)))
+        return pa.table({"a": pa.array(nodes[tied]), "b": pa.array(nodes[top[tied]])})
+
+    links = blocks.select("ring", "lo", "hi", "node", "n", "f0", "f1", "f2", "f3").groupBy("ring", "lo", "hi").applyInArrow(forest, "a long, b long")
+    return rows, components(links, "simhash-similar")
+
+
+def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """df without near copies: of each group of linked texts the row with the smallest (doc_id, text hash) stays, once.
+
+    Two texts are linked if 256 SimHash bits over their shingles say that the shingles' Jaccard similarity is
+    `similarity` or more (within MARGIN standard errors) and if their numbers of shingles allow for it. Null texts count
+    as empty, and all texts without words are copies of each other. Extra columns stay.
+    """
+    rows, parts = similar_components(df, id, text, width, similarity)
+    group = rows.join(parts, "node", "left").select(F.coalesce("component", "node").alias("group"), F.struct("_key", "_hash").alias("row"))
+    stays = group.groupBy("group").agg(F.min("row").alias("row")).select("row._key", "row._hash")
+    keyed = df.withColumn("_key", key_of(id)).withColumn("_hash", F.xxhash64(text))
+    return keyed.join(stays, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(df.columns)
