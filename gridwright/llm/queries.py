@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, contamination, secrets, simhash, toxicity
+from gridwright.llm import ann, bpe, contamination, secrets, simhash, substrings, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,10 +42,26 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_neighbours": op1_neighbours,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_substrings": op4_substrings,
     "op7_secrets": op7_secrets,
+    "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
