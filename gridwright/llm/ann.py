@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE, ROUNDS, ROTATIONS = 8192, 20, 4
+SAMPLE, ROUNDS, ROTATIONS = 4096, 12, 4
 #: Rows of a shard and queries of a block, about.
 SHARD, BLOCK = 32_768, 4096
 #: Share of the sample's true neighbours that the radius holds.
-KEPT = 0.97
+KEPT = 0.9
 POPCOUNT = np.bitwise_count(np.arange(65_536, dtype=np.uint16))
 
 
@@ -64,13 +64,33 @@ def fit(sample: np.ndarray, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarr
     return mean, turn, int(np.quantile(np.concatenate(far), KEPT)) if len(sample) > 1 else own.shape[1] * 16
 
 
+NEAR = [np.flatnonzero(POPCOUNT <= k).astype(np.uint16) for k in range(17)]
+
+
 class Index:
-    """A shard's tables: for each substring the rows in the order of its value, and where each value starts."""
+    """A shard's tables: for each substring the values that occur, each row's place among them, and a table from any
+    value to its place (one past the last for those that don't occur)."""
 
     def __init__(self, code: np.ndarray):
-        self.code = code
-        self.order = [np.argsort(code[:, j], kind="stable") for j in range(code.shape[1])]
-        self.starts = [np.searchsorted(code[o, j], np.arange(65_537)) for j, o in enumerate(self.order)]
+        self.code = np.ascontiguousarray(code)
+        self.words = self.code.view(np.uint64) if code.shape[1] % 4 == 0 else self.code
+        self.tables = []
+        for j in range(code.shape[1]):
+            values, place = np.unique(code[:, j], return_inverse=True)
+            where = np.full(65_536, len(values), np.int32)
+            where[values] = np.arange(len(values))
+            self.tables.append((values, place.astype(np.intp), where))
+
+    def probe(self, j: int, value: np.uint16, most: int) -> np.ndarray:
+        """Rows (as flags) whose substring j is within `most` bits of value: all values so near are looked up, or the
+        values that occur are run through where those are fewer."""
+        values, place, where = self.tables[j]
+        near = np.zeros(len(values) + 1, bool)
+        if len(NEAR[most]) < len(values):
+            near[where[NEAR[most] ^ value]] = True
+        else:
+            np.less_equal(np.bitwise_count(values ^ value), most, out=near[:-1])
+        return near.take(place)
 
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within radius of the query's. Of m substrings, radius // m bits may differ in one; only
@@ -79,18 +99,13 @@ class Index:
         marked = np.zeros(len(self.code), bool)
         for j in range(m):
             most = radius // m - (j > radius % m)
-            if most < 0:
-                continue
-            values = np.flatnonzero(POPCOUNT <= min(most, 16)).astype(np.uint16) ^ query[j]
-            lo, hi = self.starts[j][values], self.starts[j][values.astype(np.int64) + 1]
-            size = hi - lo
-            full = size > 0
-            lo, size = lo[full], size[full]
-            if len(size):
-                ends = np.cumsum(size)
-                marked[self.order[j][np.repeat(lo - ends + size, size) + np.arange(ends[-1])]] = True
+            if most >= 0:
+                marked |= self.probe(j, query[j], min(most, 16))
         rows = np.flatnonzero(marked)
-        return rows[POPCOUNT[self.code[rows] ^ query].sum(1, dtype=np.int64) <= radius]
+        whole = query.view(np.uint64) if self.words is not self.code else query
+        words = self.words if len(rows) == len(marked) else self.words.take(rows, 0)
+        far = np.bitwise_count(words ^ whole)
+        return rows[sum(far[:, k].astype(np.int16) for k in range(far.shape[1])) <= radius]
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, mean, turn, radius: int):
