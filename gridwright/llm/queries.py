@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import ann, bpe, contamination, secrets, simhash, substrings, toxicity, urls
+from gridwright.llm import ann, bpe, contamination, language, licenses, secrets, simhash, substrings, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,11 +55,24 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = toxicity.held_out("doc_id", 4) == 2
+    model = language.fit(documents.select("doc_id", "text", "lang").where(~held_out))
+    return language.identify(documents.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_neighbours": op1_neighbours,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op4_substrings": op4_substrings,
+    "op5_language": op5_language,
+    "op6_licenses": op6_licenses,
     "op7_secrets": op7_secrets,
     "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
