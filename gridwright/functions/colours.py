@@ -18,9 +18,9 @@ def hex_decode(text: Column) -> Column:
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
-    """Between two channels in 32-bit floats, cut to a byte. t: a float."""
-    low, high = a.cast("float"), b.cast("float")
-    return F.greatest(F.lit(0), F.least(F.lit(255), (low + (high - low) * t).cast("int")))
+    """The weighted mean of two channels in 32-bit floats, cut to a byte. t: the second's weight, a float."""
+    mean = a.cast("float") * (F.lit(1.0).cast("float") - t) + b.cast("float") * t
+    return F.greatest(F.lit(0), F.least(F.lit(255), mean.cast("int")))
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.functions import colours, geo, names
+from gridwright import schema
+from gridwright.functions import codecs, colours, geo, names
 from gridwright.operators import catalog, palette, pixels
+from gridwright.sources import tiff, writers
+from gridwright.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,7 +194,7 @@ def array_get(spark, sf_dir):
 LUT = f"""with c as {COLORMAP[0:-1]}), d as (select cast(range as int) v from range(256)),
  s as (select d.v, (select max(value) from c where value <= d.v) lo, (select min(value) from c where value >= d.v) hi from d),
  j as (select s.v, a.value av, a.r ar, a.g ag, a.b ab, b.value bv, b.r br, b.g bg, b.b bb from s left join c a on a.value = s.lo left join c b on b.value = s.hi)"""
-_RAMP = "cast(case when v = 255 then 255 when av is null then b{0} when bv is null then a{0} when av = bv then a{0} else trunc(cast(a{0} as float) + (cast(b{0} as float) - cast(a{0} as float)) * (cast(v - av as float) / cast(bv - av as float))) end as int)"
+_RAMP = "cast(case when v = 255 then 255 when av is null then b{0} when bv is null then a{0} when av = bv then a{0} else trunc(cast(a{0} as float) * (cast(1 as float) - cast(v - av as float) / cast(bv - av as float)) + cast(b{0} as float) * (cast(v - av as float) / cast(bv - av as float))) end as int)"
 _NEAR = "cast(case when v = 255 then 255 when av is null then b{0} when bv is null then a{0} when v - av <= bv - v then a{0} else b{0} end as int)"
 RAMP = ", ".join(f"{_RAMP.format(c)} {c}" for c in "rgb")
 NEAR = ", ".join(f"{_NEAR.format(c)} {c}" for c in "rgb")
@@ -543,3 +546,55 @@ def gdal_metadata_upsert(spark, sf_dir):
     k = F.col("p_partkey") % 3
     old = F.when(k == 1, F.concat(F.lit('<GDALMetadata><Item name="A">'), F.col("p_name"), F.lit("</Item></GDALMetadata>"))).when(k == 2, F.lit('<GDALMetadata><Item name="NODATA_VALUES" sample="0">77</Item><Item name="B">x</Item></GDALMetadata>'))
     return table(spark, sf_dir, "part", "p_partkey", "p_size", "p_name").select("p_partkey", colours.with_nodata_item(old, F.col("p_size").cast("string")).alias("xml"))
+
+
+# --- blocks and files made of the pixels, 100 wide
+
+
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """Uncompressed blocks of so many rows, as the source gives them; a block is a group."""
+
+    def block(key, group):
+        import numpy as np
+        import pyarrow as pa
+
+        y0 = key[0].as_py() * rows
+        x, y, v = (group.column(c).to_numpy() for c in ("x", "y", "v"))
+        data = np.zeros((int(y.max()) - y0 + 1, 100), np.uint8)
+        data[y - y0, x] = v
+        row = {"path": "made", "ifd_no": 0, "block_no": key[0].as_py(), "bx": 0, "by": key[0].as_py(), "x0": 0, "y0": y0, "w": 100, "h": len(data), "stride": 100, "compression": 1, "predictor": 1, "offset": 0, "byte_count": data.size, "data": data.tobytes()}
+        return pa.Table.from_pylist([row], pa.schema(tiff._arrow("blocks")))
+
+    return df.groupBy(F.floor(F.col("y") / rows).cast("int").alias("by")).applyInArrow(block, schema.BLOCKS)
+
+
+@query(f"select x, y, v from {EVENTS}")
+def codec_roundtrip_deflate(spark, sf_dir):
+    return codecs.to_pixels(codecs.transcode(_packed(events(spark, sf_dir), 16), 8)).select("x", "y", "v")
+
+
+@query(f"select x, y, v from {EVENTS}")
+def codec_roundtrip_zstd(spark, sf_dir):
+    return codecs.to_pixels(codecs.transcode(codecs.transcode(_packed(events(spark, sf_dir), 16), 8), 14)).select("x", "y", "v")
+
+
+@query(f"select x, y, v from {EVENTS}")
+def tiff_roundtrip(spark, sf_dir):
+    """TIFF files of 250 rows each, made in the tasks, and read again as files are."""
+
+    def made(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                out, data = io.BytesIO(), np.frombuffer(r["data"], np.uint8).reshape(-1, 100)
+                writers.write_image(out, (row.tobytes() for row in data), 100, len(data), 1, encode=codecs.codec(8).encode, compression=8)
+                rows.append((str(r["block_no"]), len(out.getvalue()), out.getvalue()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["path", "length", "content"])
+
+    files = _packed(events(spark, sf_dir), 250).mapInArrow(made, schema.FILES)
+    return watch.pixels(files).select("x", (F.col("y") + F.col("path").cast("int") * 250).alias("y"), "v")
