@@ -5,10 +5,11 @@ its anchor; equal windows have equal anchors at the same place. The consecutive
 domain, and the index holds a row for each: (anchor, hash of the domain, where it stood first). About one row comes to
 eight words, and a passage that stands in many documents has one row, however many they are.
 
-The rows of a batch are one run: a table sorted by anchor that is never changed. A new batch is merge-joined with the
-runs. A domain that stood earlier is removed as a whole. Where an anchor has several domains, their first places are
-looked up in the texts, and the windows themselves are compared by 128 bits (the verification). When there are more
-than MOST_RUNS runs they are compacted into one, which keeps each domain's first place.
+The new domains of a batch are one run: a table sorted by anchor that is never changed. A new batch's rows, of which
+each piece of input keeps one a domain, meet the runs' in one exchange and merge there in the order of anchor, domain
+and place. A domain that stood earlier is removed as a whole. Where an anchor has several domains, their first places
+are looked up in the texts, and the windows themselves are compared by 128 bits (the verification). When there are more
+than MOST_RUNS runs they are compacted into one.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridwright.llm._shared import key_of, settle, shared_dir, text_of
+from gridwright.llm._shared import key_of, release, settle, shared_dir, text_of
 
 LENGTH, GRAM, MOST_RUNS = 20, 5, 4
 REMEMBERED = 400_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-RUN = "anchor long, domain long, batch int, key long, salt int, place long"
+RUN = "anchor long, domain long, batch int, key long, salt int, place long, again boolean"
 #: A place is start * PLACE + number of windows.
 PLACE = 32
 
@@ -94,10 +96,17 @@ def _occurrences(docs: DataFrame, batch: int) -> DataFrame:
                 a, d, first, count = anchors(Rolling(hashes), len(hashes))
                 out.append((a, d, first * PLACE + count))
                 owner.append(len(a))
-            owner = pa.array(np.repeat(np.arange(len(owner)), owner))
+            owner = np.repeat(np.arange(len(owner)), owner)
             a, d, place = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 3
-            fixed = pa.array(np.full(len(owner), batch, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), fixed, part.column(0).take(owner), part.column(1).take(owner), pa.array(place.astype(np.int64))], names=["anchor", "domain", "batch", "key", "salt", "place"])
+            place, key = place.astype(np.int64), part.column(0).to_numpy()[owner]
+            # one row of each domain goes on; later ones of this piece are known to be repeats and need no exchange by anchor
+            order = np.lexsort((place, key, d, a))
+            head = np.append(True, (a[order][1:] != a[order][:-1]) | (d[order][1:] != d[order][:-1]))[: len(order)]
+            first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
+            again = np.zeros(len(order), bool)
+            again[order] = (key[first] != key[order]) | (place[first] // PLACE != place[order] // PLACE)
+            salts, fixed = part.column(1).take(pa.array(owner)), pa.array(np.full(len(owner), batch, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), fixed, pa.array(key), salts, pa.array(place), pa.array(again)], names=["anchor", "domain", "batch", "key", "salt", "place", "again"])
 
     return docs.mapInArrow(run, RUN)
 
@@ -136,58 +145,65 @@ class SubstringIndex:
     def __init__(self, spark: SparkSession, id: str = "doc_id", text: str = "text"):
         self.spark, self.id, self.text = spark, id, text
         self.home = f"{shared_dir(spark)}/substrings-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        self.runs: list[tuple[int, str]] = []
         self.texts: list[DataFrame] = []
         self.batches = 0
 
     def _keyed(self, docs: DataFrame) -> DataFrame:
         return docs.select(key_of(self.id).alias("key"), F.hash(self.text).alias("salt"), text_of(self.text).alias("text"))
 
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.home}/run-{uuid.uuid4().hex}"
-        rows.select("anchor", "domain", "rep.*").repartition("anchor").sortWithinPartitions("anchor").write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths).select("anchor", "domain", F.struct("batch", "key", "salt", "place").alias("rep"))
-
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """Adds a batch, which comes after all earlier ones, and returns its key, salt and removed word ranges (array of
-        struct lo, hi). last: no later batch will come, so no run is written."""
+        struct lo, hi). last: no later batch will come."""
         batch, keyed = self.batches, self._keyed(docs)
         self.batches += 1
         self.texts.append(keyed)
-        found = _occurrences(keyed, batch)
-        first = found.groupBy("anchor", "domain").agg(F.min(F.struct("batch", "key", "salt", "place")).alias("rep"))
-        new = settle(first, "substring-domains")
-        known = new.union(self._read(self.runs)).groupBy("anchor", "domain").agg(F.min("rep").alias("rep")) if self.runs else new
-        several = known.groupBy("anchor").agg(F.count("*").alias("n"), F.max("rep.batch").alias("latest")).where((F.col("n") > 1) & (F.col("latest") == batch)).select("anchor")
-        # domains that stood earlier go as a whole; order: batch, key, start
-        rank = lambda b, k, p: F.struct(b.alias("b"), k.alias("k"), F.floor(p / PLACE).alias("p"))
-        earlier = found.join(known, ["anchor", "domain"]).where(rank(F.col("rep.batch"), F.col("rep.key"), F.col("rep.place")) < rank(found["batch"], found["key"], found["place"]))
-        whole = earlier.select("key", "salt", F.floor(F.col("place") / PLACE).alias("lo"), (F.floor(F.col("place") / PLACE) + F.col("place") % PLACE - 1 + LENGTH).alias("hi"))
-        # the others are compared window by window
-        asked = known.join(several, "anchor").groupBy("rep.key", "rep.salt").agg(F.collect_set(F.struct("rep.batch", "rep.place")).alias("places"))
+        rows = _occurrences(keyed, batch)
+        if self.runs:
+            rows = rows.union(self._read())
+        start = F.floor(F.col("place") / PLACE)
+        dealt = rows.withColumn("deal", F.when(F.col("again"), F.xxhash64("key", "place")).otherwise(F.col("anchor"))).repartition("deal")
+        place = Window.partitionBy("deal", "domain").orderBy("again", "batch", "key", start)
+        anchor = Window.partitionBy("deal")
+        ranked = dealt.withColumn("again", F.col("again") | (F.rank().over(place) > 1))
+        bound = lambda f: f(F.when(~F.col("again"), F.col("domain"))).over(anchor)
+        ranked = ranked.withColumns({"several": F.coalesce(bound(F.min) != bound(F.max), F.lit(False)) & ~F.col("again"), "latest": F.max("batch").over(anchor)})
+        kept = ranked.where((F.col("batch") == batch) | (F.col("several") & (F.col("latest") == batch)))
+        path = f"{self.home}/run-{uuid.uuid4().hex}"
+        kept.drop("deal").sortWithinPartitions("anchor", "domain").write.parquet(path)
+        merged = self.spark.read.schema(RUN + ", several boolean, latest int").parquet(path)
+        end = lambda n: F.floor(F.col("place") / PLACE) + n + LENGTH
+        whole = merged.where(F.col("again") & (F.col("batch") == batch)).select("key", "salt", start.alias("lo"), end(F.col("place") % PLACE - 1).alias("hi"))
+        # domains that share their anchor with others are compared window by window
+        asked = merged.where(F.col("several") & (F.col("latest") == batch)).groupBy("key", "salt").agg(F.collect_set(F.struct("batch", "place")).alias("places"))
         texts = reduce(DataFrame.union, self.texts)
+        release(self.spark)
         windows = settle(_windows(texts.join(asked, ["key", "salt"]).select("key", "salt", "text", "places")), "substring-windows")
         earliest = windows.groupBy("h", "verify").agg(F.min(F.struct("batch", "key", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
         own = windows.where(F.col("batch") == batch)
         single = own.join(earliest, ["h", "verify"]).where(F.col("least") < F.struct("batch", "key", "start")).select("key", "salt", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
-        if not last:
-            self.runs.append(self._write(new))
-            if len(self.runs) > MOST_RUNS:
-                self.compact()
-        return whole.union(single).groupBy("key", "salt").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+        self.runs.append((batch, path))
+        if len(self.runs) > MOST_RUNS and not last:
+            self.compact()
+        release(self.spark)
+        found = settle(whole.union(single).groupBy("key", "salt").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "substring-ranges")
+        release(self.spark)
+        return found
+
+    def _read(self) -> DataFrame:
+        """The first places of all domains known so far; a run's own are those of its batches."""
+        parts = [self.spark.read.schema(RUN).parquet(path).where(~F.col("again") & ((F.col("batch") == batch) if batch >= 0 else F.lit(True))) for batch, path in self.runs]
+        return reduce(DataFrame.union, parts)
 
     def compact(self) -> None:
-        """Merges all runs into one; the first place of each domain stays."""
+        """Merges all runs into one, sorted by anchor."""
         if len(self.runs) > 1:
-            merged = self._read(self.runs).groupBy("anchor", "domain").agg(F.min("rep").alias("rep"))
-            self.runs = [self._write(merged)]
+            path = f"{self.home}/run-{uuid.uuid4().hex}"
+            self._read().repartition("anchor").sortWithinPartitions("anchor", "domain").write.parquet(path)
+            self.runs = [(-1, path)]
 
-    def cleaned(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """Adds the batch and returns key, n_words, n_removed and the kept words, joined by one space, of each row."""
-        ranges = self.add(docs, last)
+    def without(self, docs: DataFrame, ranges: DataFrame) -> DataFrame:
+        """key, n_words, n_removed and the kept words, joined by one space, of each row."""
         joined = self._keyed(docs).join(ranges, ["key", "salt"], "left").select("key", "text", "ranges")
 
         def run(batches):
@@ -198,6 +214,10 @@ class SubstringIndex:
 
         return joined.mapInArrow(run, "key long, n_words long, n_removed long, kept string")
 
+    def cleaned(self, docs: DataFrame) -> DataFrame:
+        """Adds the batch and returns its rows without what earlier ones hold."""
+        return self.without(docs, self.add(docs))
+
 
 def in_batches(docs: DataFrame, parts: int, id: str = "doc_id") -> list[DataFrame]:
     """docs in ranges of about equal size by document number; nulls come first."""
@@ -217,5 +237,5 @@ def dedup(docs: DataFrame, parts: int = 2, id: str = "doc_id", text: str = "text
     index = SubstringIndex(docs.sparkSession, id, text)
     own = docs.select(id, text)
     pieces = in_batches(own, parts, id)
-    done = [index.cleaned(p, last=i == len(pieces) - 1) for i, p in enumerate(pieces)]
-    return reduce(DataFrame.union, done).select(F.expr("nullif(key, -9223372036854775808L)").alias("doc_id"), "n_words", "n_removed", "kept")
+    ranges = reduce(DataFrame.union, [index.add(p, last=i == len(pieces) - 1) for i, p in enumerate(pieces)])
+    return index.without(own, ranges).select(F.expr("nullif(key, -9223372036854775808L)").alias("doc_id"), "n_words", "n_removed", "kept")
