@@ -159,7 +159,7 @@ def hamming_links(points: DataFrame, radius: int) -> DataFrame:
     which all points within radius of each other are connected."""
     n = points.count()
     depth = min(DEPTH, max(0, math.ceil(math.log2(max(n, 1) / SHARD))))
-    drawn = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
+    drawn = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64) if depth else np.zeros(0, np.uint64)
     tree = plan(drawn, depth, radius)
 
     def deal(batches):
