@@ -79,4 +79,14 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_substrings": r"""
+with d as (select row_number() over () id, coalesce(doc_id, -9223372036854775808) k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+windows as (select id, k, s, array_to_string(w[s:s + 19], ' ') t from (select *, unnest(generate_series(1, len(w) - 19)) s from d)),
+again as (select id, s from windows qualify rank() over (partition by t order by k, s) > 1),
+gone as (select distinct id, unnest(generate_series(s, s + 19)) p from again),
+words as (select id, unnest(w) word, unnest(generate_series(1, len(w))) p from d),
+kept as (select id, string_agg(word, ' ' order by p) text, count(*) n from words anti join gone using (id, p) group by id)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(kept.text, '')) kept_sha256 from d left join kept using (id)
+""",
+}
