@@ -42,19 +42,15 @@ def lookup_table(colormap: DataFrame, kind: str = "ramp") -> DataFrame:
 
     255 is white, whatever the entries say, and so is black where there are none. Values with an entry take it; others
     lie between their neighbours on a ramp of two entries or more, and else take the nearest, the lower one of two.
-    The windows run over the 256 values only.
+    The entries, at most one for each 16-bit value, become one sorted array, in which each of the 256 values is looked up.
     """
-    spark = colormap.sparkSession
-    order = [F.col("seq")] if "seq" in colormap.columns else [F.lit(0)]
-    first = colormap.withColumn("_n", F.row_number().over(Window.partitionBy("value").orderBy(*order))).where("_n = 1").select("value", F.struct("value", "r", "g", "b").alias("e"))
-    # entries above 255 take part as upper neighbours: the lowest of them is enough
-    top = first.where("value > 255").orderBy("value").limit(1)
-    domain = spark.range(256, numPartitions=1).select(F.col("id").cast("int").alias("v")).union(top.select(F.col("value").cast("int")))
-    joined = domain.join(first, domain["v"] == first["value"], "left")
-    total = first.agg(F.count("*").alias("entries"))
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = Window.orderBy("v").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    around = joined.select("v", "e", F.last("e", True).over(below).alias("lo"), F.first("e", True).over(above).alias("hi")).where("v < 256").crossJoin(F.broadcast(total))  # one row
+    order = F.min(F.struct("seq", "r", "g", "b")) if "seq" in colormap.columns else F.min(F.struct("r", "g", "b"))
+    first = colormap.groupBy("value").agg(order.alias("c")).select(F.struct("value", "c.r", "c.g", "c.b").alias("e"))
+    sorted_ones = first.agg(F.array_sort(F.collect_list("e")).alias("es"))  # one row
+    domain = colormap.sparkSession.range(0, 256, 1, 1).select(F.col("id").cast("int").alias("v")).crossJoin(F.broadcast(sorted_ones))
+    below = F.filter("es", lambda e: e["value"] <= F.col("v"))
+    above = F.filter("es", lambda e: e["value"] >= F.col("v"))
+    around = domain.select("v", F.size("es").alias("entries"), F.get(below, F.size(below) - 1).alias("lo"), F.get(above, F.lit(0)).alias("hi"))
     both = F.col("lo").isNotNull() & F.col("hi").isNotNull()
     t = (F.col("v") - F.col("lo.value")).cast("float") / F.nullif(F.col("hi.value") - F.col("lo.value"), F.lit(0)).cast("float")
     nearer = F.when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo")).when(F.col("v") - F.col("lo.value") <= F.col("hi.value") - F.col("v"), F.col("lo")).otherwise(F.col("hi"))
@@ -62,7 +58,7 @@ def lookup_table(colormap: DataFrame, kind: str = "ramp") -> DataFrame:
     def channel(c: str) -> Column:
         between = lerp(F.col(f"lo.{c}"), F.col(f"hi.{c}"), t.cast("float")) if kind == "ramp" else nearer[c]
         other = F.when(both & (F.col("entries") > 1), between).otherwise(nearer[c])
-        return F.when(F.col("v") == 255, 255).when(F.col("entries") == 0, 0).when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(other).cast("int").alias(c)
+        return F.when(F.col("v") == 255, 255).when(F.col("entries") == 0, 0).when(F.col("lo.value") == F.col("v"), F.col(f"lo.{c}")).otherwise(other).cast("int").alias(c)
 
     return around.select("v", *(channel(c) for c in "rgb"))
 
