@@ -45,3 +45,20 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished jobs now: it does so when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of the shared folder that nothing will read again."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Of more than `rows` rows those with the smallest hashes of keys. A count comes first, and a limit on the hash lets
+    about four times as many rows through, so that no more than these are sorted, however large df is."""
+    n, share = df.select(keys[0]).count(), 1.0
+    if n > 4 * rows:
+        share = 4 * rows / n
+        df = df.where(F.xxhash64(*keys) < int(-(2**63) + share * 2**64))
+    return df.orderBy(F.xxhash64(*keys), *keys).limit(rows)

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridwright.llm._shared import bounded_sample
+
 SAMPLE, ROUNDS, ROTATIONS = 4096, 12, 4
 #: Rows of a shard and queries of a block, about.
 SHARD, BLOCK = 32_768, 4096
 #: Share of the sample's true neighbours that the radius holds.
-KEPT = 0.9
+KEPT = 0.95
 POPCOUNT = np.bitwise_count(np.arange(65_536, dtype=np.uint16))
 
 
@@ -132,7 +134,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id", vec
     rows = rows.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0))
     rows = rows.groupBy("id").agg(F.max("v").alias("v"))
     spark = df.sparkSession
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
+    drawn = bounded_sample(rows, SAMPLE, "id").select("v").toArrow().column("v").to_pylist()
     if not drawn:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = len(drawn[0])

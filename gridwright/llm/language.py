@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import settle, text_of
+from gridwright.llm._shared import bounded_sample, settle, text_of
 
 HIDDEN, PIECE = 12, 24
 #: Labelled documents and words of each that the network learns from at most.
@@ -192,8 +192,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, each: int = FIT_WORDS) -> BiG
     """labelled: doc_id, text, lang. Of more than `rows` documents those with the smallest hash of doc_id and text are
     taken, and of each at most `each` different words, those with the smallest hash. Rows without lang or text don't
     count. With one language or none the answer is always that one, or `und`."""
-    sample = labelled.where("lang is not null and text is not null").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(rows).select("text", "lang")
-    sample = settle(sample, "language-sample")
+    known = labelled.where("lang is not null and text is not null")
+    sample = settle(bounded_sample(known, rows, "doc_id", "text").select("text", "lang"), "language-sample")
 
     def draw(batches):
         import xxhash

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm._shared import key_of, settle, text_of
+from gridwright.llm._shared import bounded_sample, key_of, settle, text_of
 from gridwright.llm.components import components
 
 SEED = 42
@@ -159,7 +159,7 @@ def hamming_links(points: DataFrame, radius: int) -> DataFrame:
     which all points within radius of each other are connected."""
     n = points.count()
     depth = min(DEPTH, max(0, math.ceil(math.log2(max(n, 1) / SHARD))))
-    drawn = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64) if depth else np.zeros(0, np.uint64)
+    drawn = bounded_sample(points.select("fp"), SAMPLE, "fp").toArrow().column("fp").to_numpy().view(np.uint64) if depth else np.zeros(0, np.uint64)
     tree = plan(drawn, depth, radius)
 
     def deal(batches):

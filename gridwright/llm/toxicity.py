@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import settle, text_of
+from gridwright.llm._shared import bounded_sample, settle, text_of
 
 #: Labelled rows that the decision list is fitted on at most, and entries that are looked at at most.
 FIT_ROWS, FIT_ENTRIES = 20_000, 20_000
@@ -261,7 +261,8 @@ def fit(documents: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Toxi
     more than `rows` of them those with the smallest hash of doc_id are taken. Several labels of a document: the
     largest; null labels don't count. Without labels the list is empty and every score is 0."""
     model = ToxicityModel(character_model(documents))
-    sample = labelled.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = labelled.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = bounded_sample(known, rows, "doc_id")
     texts = settle(documents.select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample")
 
     def count(batches):
