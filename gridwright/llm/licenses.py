@@ -90,10 +90,11 @@ def license_hits(df: DataFrame, base: dict[str, str] = BASE, templates: dict[str
     source = df.select(F.col(id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     rows = source.mapInArrow(run, "doc_id long, n_words long, grams array<struct<at:long,gram:long>>")
     rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "license-grams")
-    places = spark.createDataFrame([(int(g), t, k, len(own_grams[t])) for t in range(len(listed)) for k, g in enumerate(own_grams[t].tolist())], "gram long, template int, k long, grams long")
-    names = spark.createDataFrame([(t, *x) for t, x in enumerate(listed)], "template int, phrase string, label string, exact boolean")
-    votes = rows.select("row", F.inline("grams")).join(places, "gram").groupBy("row", "template", "grams", (F.col("at") - F.col("k")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-    votes = votes.join(names, "template")
+    # bounded by MOST_WORDS, so it is broadcast whatever the texts are: no row is dealt out by template
+    listed_places = [(int(g), t, k, len(own_grams[t]), listed[t][1], listed[t][2]) for t in range(len(listed)) for k, g in enumerate(own_grams[t].tolist())]
+    places = F.broadcast(spark.createDataFrame(listed_places, "gram long, template int, k long, grams long, label string, exact boolean"))
+    hits = rows.select("row", F.inline("grams")).join(places, "gram")
+    votes = hits.groupBy("row", "template", "label", "exact", "grams", (F.col("at") - F.col("k")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("k").alias("lo"), F.max("k").alias("hi"))
     whole = votes.where(F.col("exact") & (F.col("votes") == F.col("grams")))
     exact = whole.select("row", "template", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("grams") + GRAM - 1).alias("end_word"), F.lit(1.0).alias("score"))
     by_place = Window.partitionBy("row", "template").orderBy("diagonal")
