@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridwright.llm._shared import key_of, release, settle, shared_dir, text_of
+from gridwright.llm._shared import discard, key_of, release, settle, shared_dir, text_of
 
 LENGTH, GRAM, MOST_RUNS = 20, 5, 4
 REMEMBERED = 400_000
@@ -154,7 +154,7 @@ class SubstringIndex:
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """Adds a batch, which comes after all earlier ones, and returns its key, salt and removed word ranges (array of
-        struct lo, hi). last: no later batch will come."""
+        struct lo, hi). last: no later batch will come, and the index is deleted."""
         batch, keyed = self.batches, self._keyed(docs)
         self.batches += 1
         self.texts.append(keyed)
@@ -178,16 +178,20 @@ class SubstringIndex:
         asked = merged.where(F.col("several") & (F.col("latest") == batch)).groupBy("key", "salt").agg(F.collect_set(F.struct("batch", "place")).alias("places"))
         texts = reduce(DataFrame.union, self.texts)
         release(self.spark)
-        windows = settle(_windows(texts.join(asked, ["key", "salt"]).select("key", "salt", "text", "places")), "substring-windows")
+        compared = f"{self.home}/windows-{batch}"
+        windows = _windows(texts.join(asked, ["key", "salt"]).select("key", "salt", "text", "places"))
+        windows.write.parquet(compared)
+        windows = self.spark.read.schema(windows.schema).parquet(compared)
         earliest = windows.groupBy("h", "verify").agg(F.min(F.struct("batch", "key", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
         own = windows.where(F.col("batch") == batch)
         single = own.join(earliest, ["h", "verify"]).where(F.col("least") < F.struct("batch", "key", "start")).select("key", "salt", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
+        release(self.spark)
+        found = settle(whole.union(single).groupBy("key", "salt").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "substring-ranges")
+        discard(self.spark, *([self.home] if last else [compared]))
         self.runs.append((batch, path))
         if len(self.runs) > MOST_RUNS and not last:
             self.compact()
         release(self.spark)
-        found = settle(whole.union(single).groupBy("key", "salt").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "substring-ranges")
-        release(self.spark)
         return found
 
     def _read(self) -> DataFrame:
@@ -200,6 +204,7 @@ class SubstringIndex:
         if len(self.runs) > 1:
             path = f"{self.home}/run-{uuid.uuid4().hex}"
             self._read().repartition("anchor").sortWithinPartitions("anchor", "domain").write.parquet(path)
+            discard(self.spark, *(old for _, old in self.runs))
             self.runs = [(-1, path)]
 
     def without(self, docs: DataFrame, ranges: DataFrame) -> DataFrame:
