@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm._shared import text_of
+from gridwright.llm._shared import text_of, tidy
 
 NO_RANK = np.int64(2**62)
 #: Words that a worker remembers, and their symbols.
-REMEMBERED_WORDS = 400_000
-REMEMBERED_IDS = 8_000_000
+REMEMBERED_WORDS = 200_000
+REMEMBERED_IDS = 4_000_000
 WHITE = regex.compile(r"\p{White_Space}+")
 #: Fixed value: the split pattern of the tokenizer.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -271,7 +271,8 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
                         arrays.append(pa.array(back, pa.string()))
                     yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
         finally:
-            gc.enable()
+            memory.clear()
+            tidy()
 
     return source.mapInArrow(encode, schema)
 

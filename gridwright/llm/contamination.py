@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import text_of
+from gridwright.llm._shared import text_of, tidy
 
 GRAM, SPAN, LEAST_WORDS, BLOCK_WORDS = 3, 6, 8, 2_000_000
 MATCH, OTHER = 2, -1
@@ -104,6 +104,7 @@ def count_grams(docs: DataFrame, block: Items) -> np.ndarray:
                     np.add.at(total, which, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+        tidy()
 
     counts = np.zeros(len(block.grams), np.int64)
     for r in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
@@ -151,6 +152,7 @@ def passages(docs: DataFrame, block: Items, counts: np.ndarray) -> DataFrame:
                             out.append((doc, block.names[item], lo, [w.decode("utf-8", "replace") for w in own[lo:hi]]))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.string()))], names=["doc_id", "item_id", "start", "words"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start long, words array<string>")
 

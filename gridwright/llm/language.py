@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import bounded_sample, settle, text_of
+from gridwright.llm._shared import bounded_sample, settle, text_of, tidy
 
 HIDDEN, PIECE = 12, 24
 #: Labelled documents and words of each that the network learns from at most.
 FIT_ROWS, FIT_WORDS = 3000, 40
 EPOCHS, STEP, RATE = 4, 256, 0.01
-REMEMBERED, TOGETHER = 300_000, 8192
+REMEMBERED, TOGETHER = 200_000, 8192
 EDGES = ".,;:!?\"'()[]{}*&%#$@+-_=/\\|<>~`^…«»“”„¡¿"
 
 
@@ -241,6 +241,7 @@ def identify(df: DataFrame, model: BiGru, text: str = "text") -> DataFrame:
                 scores = [min(1.0, float(p[k])) for k, p in zip(best, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
         finally:
-            gc.enable()
+            memory.clear()
+            tidy()
 
     return source.mapInArrow(run, schema)

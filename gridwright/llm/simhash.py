@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm._shared import bounded_sample, key_of, settle, text_of
+from gridwright.llm._shared import bounded_sample, key_of, settle, text_of, tidy
 from gridwright.llm.components import components
 
 SEED = 42
@@ -58,6 +58,7 @@ def simhash(df: DataFrame, id: str = "doc_id", text: str = "text", width: int =
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        tidy()
 
     return source.mapInArrow(run, "doc_id long, fp long")
 
@@ -262,6 +263,7 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
             found = [wide_fingerprint(t, width) for t in batch.column(2).to_pylist()]
             fps = np.array([x for _, x in found], np.uint64).reshape(-1, 4).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), *(pa.array(fps[:, k]) for k in range(4))], names=["_key", "_hash", "n", "f0", "f1", "f2", "f3"])
+        tidy()
 
     rows = source.mapInArrow(run, "_key long, _hash long, n long, f0 long, f1 long, f2 long, f3 long")
     rows = settle(rows.withColumn("node", F.xxhash64("n", "f0", "f1", "f2", "f3")), "simhash-wide")

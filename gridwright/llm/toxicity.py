@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import bounded_sample, settle, text_of
+from gridwright.llm._shared import bounded_sample, settle, text_of, tidy
 
 #: Labelled rows that the decision list is fitted on at most, and entries that are looked at at most.
 FIT_ROWS, FIT_ENTRIES = 20_000, 20_000
@@ -33,7 +33,7 @@ LEAST_ROWS, LEAST_SHARE = 3, 0.8
 #: The share of a row's weight that each entry takes away.
 EXPLAINED = 0.2
 STEMS = range(4, 9)
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Letters that a character may stand for.
 LOOKALIKES = {
@@ -205,6 +205,7 @@ def character_model(df: DataFrame, text: str = "text") -> np.ndarray:
                 total += trigram_counts(t)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
+        tidy()
 
     rows = df.select(text_of(text).alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(CLASSES**3)
@@ -273,6 +274,8 @@ def fit(documents: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Toxi
         names = list(seen[1])
         more = [f for f in seen[0] if f not in seen[1]]
         yield pa.RecordBatch.from_arrays([pa.array(names + more, pa.string()), pa.array([seen[1][f] for f in names] + [0] * len(more), pa.int64()), pa.array([seen[0][f] for f in names] + [seen[0][f] for f in more], pa.int64())], names=["f", "toxic", "clean"])
+        seen.clear()
+        tidy()
 
     counts = texts.mapInArrow(count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     good = counts.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
@@ -284,6 +287,7 @@ def fit(documents: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Toxi
             found = [sorted({number[f] for w in model.all_words(t) for f in features(w) if f in number}) for t in batch.column(0).to_pylist()]
             own = pa.array([sketch(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32())), own], names=["toxic", "found", "sketch"])
+        tidy()
 
     matched = texts.mapInArrow(match, "toxic int, found array<int>, sketch array<long>").collect()
     model.entries, model.base = cover([(int(r["toxic"] > 0), r["found"], r["sketch"]) for r in matched], names)
@@ -305,7 +309,8 @@ def score_texts(df: DataFrame, model: ToxicityModel, text: str = "text", score:
                 own = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.float64())], names=schema.names)
         finally:
-            gc.enable()
+            scorer.clear()
+            tidy()
 
     return source.mapInArrow(run, schema)
 
