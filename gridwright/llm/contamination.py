@@ -1,14 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are lower-case runs of ASCII letters, digits and all other characters beyond ASCII. A first pass counts every
-n-gram of the items in the whole corpus. Of every SPAN consecutive n-grams of an item the rarest is a seed, however
-frequent it is, so a copied run of SPAN + GRAM - 1 words holds a seed. A second pass cuts the passages around seeds out
-of the texts; one whose words, as a bag, cannot reach the least score is left out, which loses nothing. The passages
-are joined to their items and aligned: match +2, mismatch and gap -1, local. The score is the alignment's over 2 times
-the item's words: 1 for a full copy.
+Words are lower-case runs of ASCII letters, digits and all other characters beyond ASCII. Passages are aligned with the
+items: match +2, mismatch and gap -1, local. The score is the alignment's over 2 times the item's words: 1 for a full
+copy. A passage is found if it scores LEAST_SCORE with the item.
+
+Seeds are pairs of words that follow each other in the item, and in the text with at most one word between. An alignment
+that scores half of n words holds at least n / 3 - 1 of their pairs so, whatever was edited, within 2 n words: u words
+not matched and i put in break at most 2 u + i / 2 pairs, and 3 u + i <= n. A first pass counts the pairs in the whole
+corpus. Of those that occur, all but the n / 3 - 2 most frequent are seeds, so a passage holds one; a second pass cuts
+the passages around seeds out of the texts. One without enough pairs, or whose words, as a bag, cannot reach the least
+score, is left out. None of these steps loses a passage.
 
 Items are taken in blocks of at most BLOCK_WORDS words, so what is sent to the workers is bounded; a larger benchmark
-takes more passes. Items of fewer than LEAST_WORDS words cannot be told from chance and match nothing.
+takes more passes. Items of fewer than LEAST_WORDS words match nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gridwright.llm._shared import text_of, tidy
 
-GRAM, SPAN, LEAST_WORDS, BLOCK_WORDS = 3, 6, 8, 2_000_000
+LEAST_WORDS, PIECE, BLOCK_WORDS = 8, 40, 2_000_000
 MATCH, OTHER = 2, -1
 LEAST_SCORE = 0.5
 #: Passages aligned at once.
@@ -35,20 +39,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def gram_keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """A number for each n-gram; 0 where a word is unknown (0). size: words known, plus one."""
-    n = len(ids) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    keys, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for k in range(GRAM):
-        keys = keys * size + ids[k : k + n]
-        known &= ids[k : k + n] > 0
-    return np.where(known, keys, 0)
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """The parts of an item of n words that a passage may be a copy of: the whole."""
+    return [(0, n)]
+
+
+def pairs_needed(n: int) -> int:
+    """The pairs of a part of n words that stand in any passage which reaches the least score."""
+    return n - 1 if n < LEAST_WORDS else (n + 2) // 3 - 1
 
 
 class Items:
-    """A block of items: the vocabulary, sorted n-grams, and where they stand."""
+    """A block of items: the vocabulary, sorted pairs of words, and the parts and places where they stand."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words = {i: words_of(t) for i, t in items}
@@ -57,48 +59,63 @@ class Items:
             for w in own:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.size = len(self.vocabulary) + 1
-        if self.size >= 2**21:
+        if self.size >= 2**31:
             raise ValueError("too many words in a block of items")
         self.names = list(self.words)
         self.ids = [np.array([self.vocabulary[w] for w in own], np.int64) for own in self.words.values()]
-        self.item_grams = [gram_keys(x, self.size) for x in self.ids]
-        self.grams = np.unique(np.concatenate([np.zeros(1, np.int64), *self.item_grams]))
+        #: (item, words) of each part, and the pairs in it. The pair of a single word is the word and 0.
+        parts = [(k, lo, hi) for k, x in enumerate(self.ids) if len(x) >= LEAST_WORDS for lo, hi in parts_of(len(x))]
+        self.part_item = np.array([k for k, _, _ in parts], np.int64)
+        self.part_words = np.array([hi - lo for _, lo, hi in parts], np.int64)
+        pairs = [self.ids[k][lo : hi - 1] * self.size + self.ids[k][lo + 1 : hi] if hi - lo > 1 else self.ids[k] * self.size for k, lo, hi in parts]
+        self.needed = np.array([max(1, pairs_needed(hi - lo)) for _, lo, hi in parts], np.int64)
+        every = np.concatenate([np.zeros(0, np.int64), *pairs])
+        of_part = np.repeat(np.arange(len(parts)), [len(x) for x in pairs])
+        order = np.argsort(every, kind="stable")
+        self.grams, self.first, self.times = np.unique(every[order], return_index=True, return_counts=True)
+        #: The part of each entry, in the order of the pairs.
+        self.entry_part = of_part[order]
 
     def ids_of(self, text: str) -> np.ndarray:
         own = words_of(text)
         return np.fromiter(map(self.vocabulary.get, own, repeat(0)), np.int64, len(own))
 
-    def find(self, ids: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ids at which one of grams (sorted) starts, and which one."""
-        known = ids > 0
-        places = np.flatnonzero(known[:-2] & known[1:-1] & known[2:]) if len(ids) >= GRAM else np.zeros(0, np.int64)
-        keys = (ids[places] * self.size + ids[places + 1]) * self.size + ids[places + 2]
-        at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-        hit = grams[at] == keys
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ids at which one of the pairs starts, and which one."""
+        known = np.flatnonzero(ids)
+        if not len(known) or not len(self.grams):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own = ids[known] * self.size
+        padded = np.concatenate([ids, np.zeros(2, np.int64)])
+        places, keys = [known], [own]
+        for far in (1, 2):
+            after = padded[known + far]
+            places.append(known[after > 0])
+            keys.append((own + after)[after > 0])
+        places, keys = np.concatenate(places), np.concatenate(keys)
+        at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+        hit = self.grams[at] == keys
         return places[hit], at[hit]
 
-    def seeds(self, counts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """n-gram -> (item, offset) of those that are the rarest of some SPAN consecutive ones."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        for k, grams in enumerate(self.item_grams):
-            if len(self.ids[k]) < LEAST_WORDS:
-                continue
-            rare = counts[np.searchsorted(self.grams, grams)]
-            span = min(SPAN, len(grams))
-            chosen = {i + int(np.argmin(rare[i : i + span])) for i in range(len(grams) - span + 1)}
-            for i in sorted(chosen):
-                found.setdefault(int(grams[i]), []).append((k, i))
-        return found
+    def seeds(self, counts: np.ndarray) -> np.ndarray:
+        """Whether each entry is a seed: of a part's pairs that occur, all but the most frequent needed - 1."""
+        rare = np.repeat(counts, self.times)
+        order = np.lexsort((-rare, self.entry_part))
+        sizes = np.bincount(self.entry_part, minlength=len(self.needed))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found = np.zeros(len(order), bool)
+        found[order] = place >= np.repeat(self.needed - 1, sizes)
+        return found & (rare > 0)
 
 
 def count_grams(docs: DataFrame, block: Items) -> np.ndarray:
-    """How often each of the block's n-grams stands in the corpus."""
+    """How often each of the block's pairs stands in the corpus."""
 
     def run(batches):
         total = np.zeros(len(block.grams), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                _, which = block.find(block.ids_of(text), block.grams)
+                _, which = block.find(block.ids_of(text))
                 total += np.bincount(which, minlength=len(total)) if len(which) > 1000 else 0
                 if len(which) <= 1000:
                     np.add.at(total, which, 1)
@@ -115,36 +132,47 @@ def count_grams(docs: DataFrame, block: Items) -> np.ndarray:
 def passages(docs: DataFrame, block: Items, counts: np.ndarray) -> DataFrame:
     """docs: doc_id, text. doc_id, item_id, start (word), words (array<string>): passages that may reach the least score."""
     seeds = block.seeds(counts)
-    grams = np.array(sorted(seeds) or [0], np.int64)
-    entries = [seeds.get(int(g), []) for g in grams]
     bags = [dict(zip(*np.unique(x, return_counts=True), strict=True)) for x in block.ids]
 
-    def windows(hits: list[tuple[int, int]], length: int, total: int) -> list[list[int]]:
-        slack, found = length // 2 + 4, []
-        for at, offset in hits:  # in the order of at
-            lo, hi = max(0, at - offset - slack), min(total, at - offset + length + slack)
-            if found and lo <= found[-1][1]:
-                found[-1][1] = max(found[-1][1], hi)
-            else:
-                found.append([lo, hi])
+    def windows(ids: np.ndarray) -> dict[int, list[list[int]]]:
+        """Item -> stretches of the text that hold enough pairs of one of its parts, close enough together."""
+        places, which = block.find(ids)
+        times = block.times[which]
+        entry = np.repeat(block.first[which] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        seeded = np.unique(block.entry_part[entry[seeds[entry]]])
+        if not len(seeded):
+            return {}
+        part, n = np.unique(block.entry_part[np.unique(entry)], return_counts=True)  # each pair of a part counts once
+        part = np.intersect1d(part[n >= block.needed[part]], seeded, assume_unique=True)
+        if not len(part):
+            return {}
+        of_entry, at = block.entry_part[entry], np.repeat(places, times)
+        found: dict[int, list[list[int]]] = {}
+        for p in part.tolist():
+            own, length, more = np.sort(at[of_entry == p]), int(block.part_words[p]), int(block.needed[p]) - 1
+            last = own[more:]
+            own = own[: len(last)]
+            close = last - own <= 2 * length
+            stretches = found.setdefault(int(block.part_item[p]), [])
+            stretches += [[max(0, x - 2 * length), min(len(ids), y + 2 * length + 1)] for x, y in zip(own[close].tolist(), last[close].tolist(), strict=True)]
+        for item, stretches in found.items():
+            merged: list[list[int]] = []
+            for lo, hi in sorted(stretches):
+                if merged and lo <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], hi)
+                else:
+                    merged.append([lo, hi])
+            found[item] = merged
         return found
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = block.ids_of(text)
-                places, which = block.find(ids, grams)
-                if not len(places):
-                    continue
-                by_item: dict[int, list[tuple[int, int]]] = {}
-                for at, g in zip(places.tolist(), which.tolist(), strict=True):
-                    for item, offset in entries[g]:
-                        by_item.setdefault(item, []).append((at, offset))
-                own = None
-                for item, hits in by_item.items():
+                ids, own = block.ids_of(text), None
+                for item, stretches in windows(ids).items():
                     length, bag = len(block.ids[item]), bags[item]
-                    for lo, hi in windows(hits, length, len(ids)):
+                    for lo, hi in stretches:
                         there, n = np.unique(ids[lo:hi], return_counts=True)
                         shared = sum(min(c, bag.get(w, 0)) for w, c in zip(there.tolist(), n.tolist(), strict=True))
                         if shared >= LEAST_SCORE * length:
@@ -187,22 +215,43 @@ def smith_waterman(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np
     return best // scale, best % scale, end
 
 
+def scored(todo: list[tuple[np.ndarray, np.ndarray]]):
+    """smith_waterman over pairs of any number and length: (score, first, end) of each, in the order of todo."""
+    found: list = [None] * len(todo)
+    order = sorted(range(len(todo)), key=lambda k: (len(todo[k][0]), len(todo[k][1])))
+    for at in range(0, len(order), BATCH):
+        part = order[at : at + BATCH]
+        for k, *got in zip(part, *smith_waterman([todo[k][0] for k in part], [todo[k][1] for k in part]), strict=True):
+            found[k] = tuple(map(int, got))
+    return found
+
+
 def align(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs: doc_id, item_id, start, words, item (array<string>). Aligned ones of at least this score."""
+    """pairs: doc_id, item_id, start, words, item (array<string>). Alignments that are found with this least score; what
+    stands before and after one is aligned again."""
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            rows.sort(key=lambda r: (len(r["item"]), len(r["words"])))
-            out = []
-            for at in range(0, len(rows), BATCH):
-                part = rows[at : at + BATCH]
+            todo, out = [], []
+            for r in batch.to_pylist():
                 number: dict[str, int] = {}
-                items = [np.array([number.setdefault(w, len(number)) for w in r["item"]], np.int32) for r in part]
-                texts = [np.array([number.get(w, -3) for w in r["words"]], np.int32) for r in part]
-                for r, score, first, end in zip(part, *smith_waterman(items, texts), strict=True):
-                    if score >= least * MATCH * len(r["item"]):
-                        out.append((r["doc_id"], r["item_id"], score / (MATCH * len(r["item"])), r["start"] + int(first), r["start"] + int(end)))
+                item = np.array([number.setdefault(w, len(number)) for w in r["item"]], np.int32)
+                todo.append((r, item, r["start"], np.array([number.get(w, -3) for w in r["words"]], np.int32)))
+            while todo:
+                enough = [(least if len(x) >= LEAST_WORDS else 1.0) * MATCH * len(x) for _, x, _, _ in todo]
+                hits = scored([(x, t) for _, x, _, t in todo])
+                doubt = [k for k, (score, _, _) in enumerate(hits) if least * MATCH * PIECE <= score < enough[k]]
+                pieces = [(k, lo, hi) for k in doubt for lo, hi in parts_of(len(todo[k][1]))[1:]]
+                by_piece = scored([(todo[k][1][lo:hi], todo[k][3]) for k, lo, hi in pieces])
+                copied = {k for (k, _, _), (score, _, _) in zip(pieces, by_piece, strict=True) if score >= least * MATCH * PIECE}
+                more = []
+                for k, ((r, item, start, text), (score, first, end)) in enumerate(zip(todo, hits, strict=True)):
+                    if score >= enough[k] or k in copied:
+                        out.append((r["doc_id"], r["item_id"], score / (MATCH * len(item)), start + first, start + end))
+                        for at, rest in ((start, text[:first]), (start + end, text[end:])):
+                            if np.count_nonzero(rest >= 0) * MATCH >= min(enough[k], least * MATCH * PIECE):
+                                more.append((r, item, at, rest))
+                todo = more
             columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])

@@ -64,3 +64,25 @@ def test_blocks_of_items_and_odd_rows(spark):
     parts = sorted(map(str, c.contaminated(df, bench, block_words=70).collect()))
     assert whole == parts and any("doc_id=None" in x for x in whole)
     assert c.contaminated(df.limit(0), bench).count() == 0 and c.contaminated(df, bench.limit(0)).count() == 0
+
+
+def found(spark, items, docs):
+    got = c.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]) for r in got.collect()}
+
+
+def test_evenly_spaced_edits_of_the_only_copy(spark):
+    rng = random.Random(8)
+    items, docs, want = [], [], set()
+    for k in range(60):
+        own = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(8, 59))]
+        every, kind = rng.randint(3, 8), k % 3
+        text = []
+        for i, w in enumerate(own):
+            edited = i % every == every - 1
+            text += ["odd"] if edited and kind == 0 else [] if edited and kind == 1 else [w, "odd"] if kind == 2 and (edited or k % 2) else [w]
+        items.append((k, " ".join(own)))
+        docs.append((k, " ".join(["x"] * 30 + text + ["y"] * 30)))
+        if plain_align(own, text) >= len(own):
+            want.add((k, k))
+    assert len(want) > 40 and found(spark, items, docs) == want
