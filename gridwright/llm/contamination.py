@@ -2,7 +2,8 @@
 
 Words are lower-case runs of ASCII letters, digits and all other characters beyond ASCII. Passages are aligned with the
 items: match +2, mismatch and gap -1, local. The score is the alignment's over 2 times the item's words: 1 for a full
-copy. A passage is found if it scores LEAST_SCORE with the item.
+copy. A passage is found if it scores LEAST_SCORE with the item or, however long the item is, with one of its pieces of
+PIECE words, which overlap by half: PIECE / 2 copied words in a row always do.
 
 Seeds are pairs of words that follow each other in the item, and in the text with at most one word between. An alignment
 that scores half of n words holds at least n / 3 - 1 of their pairs so, whatever was edited, within 2 n words: u words
@@ -12,7 +13,7 @@ the passages around seeds out of the texts. One without enough pairs, or whose w
 score, is left out. None of these steps loses a passage.
 
 Items are taken in blocks of at most BLOCK_WORDS words, so what is sent to the workers is bounded; a larger benchmark
-takes more passes. Items of fewer than LEAST_WORDS words match nothing.
+takes more passes. Items of fewer than LEAST_WORDS words must stand in a text word by word.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ def words_of(text: str) -> list[bytes]:
 
 
 def parts_of(n: int) -> list[tuple[int, int]]:
-    """The parts of an item of n words that a passage may be a copy of: the whole."""
-    return [(0, n)]
+    """The parts of an item of n words that a passage may be a copy of: the whole, and pieces of a longer one."""
+    starts = sorted({*range(0, n - PIECE, PIECE // 2), n - PIECE}) if n > PIECE else []
+    return [(0, n), *((at, at + PIECE) for at in starts)]
 
 
 def pairs_needed(n: int) -> int:
@@ -64,7 +66,7 @@ class Items:
         self.names = list(self.words)
         self.ids = [np.array([self.vocabulary[w] for w in own], np.int64) for own in self.words.values()]
         #: (item, words) of each part, and the pairs in it. The pair of a single word is the word and 0.
-        parts = [(k, lo, hi) for k, x in enumerate(self.ids) if len(x) >= LEAST_WORDS for lo, hi in parts_of(len(x))]
+        parts = [(k, lo, hi) for k, x in enumerate(self.ids) if len(x) for lo, hi in parts_of(len(x))]
         self.part_item = np.array([k for k, _, _ in parts], np.int64)
         self.part_words = np.array([hi - lo for _, lo, hi in parts], np.int64)
         pairs = [self.ids[k][lo : hi - 1] * self.size + self.ids[k][lo + 1 : hi] if hi - lo > 1 else self.ids[k] * self.size for k, lo, hi in parts]
@@ -175,7 +177,7 @@ def passages(docs: DataFrame, block: Items, counts: np.ndarray) -> DataFrame:
                     for lo, hi in stretches:
                         there, n = np.unique(ids[lo:hi], return_counts=True)
                         shared = sum(min(c, bag.get(w, 0)) for w, c in zip(there.tolist(), n.tolist(), strict=True))
-                        if shared >= LEAST_SCORE * length:
+                        if shared >= LEAST_SCORE * min(length, PIECE):
                             own = own or words_of(text)
                             out.append((doc, block.names[item], lo, [w.decode("utf-8", "replace") for w in own[lo:hi]]))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
@@ -275,7 +277,8 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", least: float = LEAST_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, score, first_word, end_word: every passage that aligns with an item at `least` or better.
+    """doc_id, item_id, score, first_word, end_word: every passage that aligns with an item, or with a piece of PIECE
+    words of a longer one, at `least` or better. The score is the share of the whole item also where a piece decides.
 
     Null texts count as empty; a null doc_id passes through; items without a number don't count, and of several
     texts of one item_id the largest does. Repeated documents come out repeated. Extra columns take no part.

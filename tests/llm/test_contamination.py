@@ -86,3 +86,15 @@ def test_evenly_spaced_edits_of_the_only_copy(spark):
         if plain_align(own, text) >= len(own):
             want.add((k, k))
     assert len(want) > 40 and found(spark, items, docs) == want
+
+
+def test_short_items_word_by_word_and_passages_of_long_ones(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    long, pad = text(200), ["x"] * 20
+    items = [(1, "one short item"), (2, "single"), (3, " ".join(long))]
+    edited = ["odd" if i % 6 == 5 else w for i, w in enumerate(long[60:155])]
+    cut = {1: pad + ["one", "short", "item"] + pad, 2: ["one", "short", "x", "item"], 3: pad + ["Single"], 4: pad + long[52:147] + pad, 5: edited, 6: long[71:91] + pad, 7: long[71:86] + pad, 8: pad + long[:95] + pad * 30 + long[100:190]}
+    assert found(spark, items, [(k, " ".join(x)) for k, x in cut.items()]) == {(1, 1), (3, 2), (4, 3), (5, 3), (6, 3), (8, 3)}
+    one = c.contaminated(spark.createDataFrame([(8, " ".join(cut[8]))], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["first_word"], r["end_word"], r["score"]) for r in one) == [(20, 115, 95 / 200), (715, 805, 90 / 200)]
