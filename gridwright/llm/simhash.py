@@ -196,23 +196,28 @@ def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
     return fps.join(of_point, "fp").select("doc_id", "fp", F.expr("nullif(component_id, -9223372036854775808L)").alias("component_id"))
 
 
-#: Points of a block when rings are compared; standard errors added to the distance that the similarity stands for.
-RING_BLOCK, MARGIN = 16_384, 1.0
+#: Points and shingles of a block when rings are compared; standard errors added to the distance that the similarity
+#: stands for, so that of pairs at the similarity itself about one in 10,000 is not looked at.
+RING_BLOCK, RING_SHINGLES, MARGIN = 16_384, 4_000_000, 4.0
 
 
-def wide_fingerprint(text: str, width: int) -> tuple[int, list[int]]:
-    """The number of shingles, and four fingerprints of 64 bits from as many mixes of the shingles' XXH64."""
+def shingles(text: str, width: int) -> np.ndarray:
+    """The XXH64 of the distinct shingles, sorted. A text of fewer words is one shingle, one without words none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, [0, 0, 0, 0]
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths) - 1
     n = max(1, len(words) - width + 1)
     starts = (ends - lengths + 1)[:n].tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
-    found = []
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """Four fingerprints of 64 bits from as many mixes of the shingles' hashes."""
+    n, found = len(hashes), []
     for k in range(4):
         votes = np.zeros(64, np.int64)
         for at in range(0, n, 65_536):
@@ -223,7 +228,7 @@ def wide_fingerprint(text: str, width: int) -> tuple[int, list[int]]:
                 part ^= part >> np.uint64(32)
             votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         found.append(int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0]))
-    return n, found
+    return found
 
 
 def bits_for(similarity: float, bits: int, errors: float) -> int:
@@ -232,10 +237,9 @@ def bits_for(similarity: float, bits: int, errors: float) -> int:
     return math.floor(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
 
-def similar(fps: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """fps: (points, 4). The smallest index linked to each point, over pairs that are near in all bits and in length."""
-    near, first = bits_for(similarity, 256, MARGIN), bits_for(similarity, 64, 3)
-    forest = Forest(len(fps))
+def candidates(fps: np.ndarray, n: np.ndarray, similarity: float):
+    """fps: (points, 4). Pairs that are near in all bits and in length, as arrays, in pieces."""
+    near, first = bits_for(similarity, 256, MARGIN), bits_for(similarity, 64, MARGIN)
     lead = np.ascontiguousarray(fps[:, 0])
     for at in range(0, len(fps), 256):
         a, b = np.nonzero(distance(lead[at:], lead[at : at + 256, None]) <= first)
@@ -244,7 +248,30 @@ def similar(fps: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
         ok = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
         a, b = a[ok], b[ok]
         ok = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= near
-        forest.join(a[ok], b[ok])
+        yield a[ok], b[ok]
+
+
+def as_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, without repeats) have this Jaccard similarity."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
+def similar(fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest index linked to each point, over candidates whose sets are as similar. Of the pairs between two trees
+    one is compared at a time, so a group of m copies takes about m comparisons."""
+    forest = Forest(len(fps))
+    for a, b in candidates(fps, np.array([len(x) for x in sets], np.int64), similarity):
+        while len(a):
+            forest.flatten()
+            x, y = forest.up[a], forest.up[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            _, one = np.unique(np.minimum(x, y) * len(fps) + np.maximum(x, y), return_index=True)
+            ok = np.array([as_similar(sets[i], sets[j], similarity) for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True)], bool)
+            forest.join(a[one][ok], b[one][ok])
+            a, b = np.delete(a, one), np.delete(b, one)
     forest.flatten()
     return forest.up
 
@@ -252,48 +279,64 @@ def similar(fps: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
 def similar_components(df: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(rows, parts): doc key, text hash and node of each row; node and component of the nodes that are linked.
 
-    The first vantage point is the empty text, and the distance to it the logarithm of a text's shingles: texts that
-    are as similar as asked for lie in the same ring or in neighbouring ones, so each ring overlaps into the next. A
-    ring is compared in blocks of bounded size. Only spanning forests leave the blocks.
+    A node is a set of shingles. The first vantage point is the empty text, and the distance to it the logarithm of a
+    text's distinct shingles: texts that are as similar as asked for lie in the same ring or in neighbouring ones, so
+    each ring overlaps into the next. A ring is compared in blocks of bounded size, twice: by fingerprints, which finds
+    the nodes that have a candidate in a block, and by these nodes' shingles. Only spanning forests leave the blocks.
     """
     source = df.select(key_of(id).alias("_key"), F.xxhash64(text).alias("_hash"), text_of(text).alias("text"))
 
     def run(batches):
         for batch in batches:
-            found = [wide_fingerprint(t, width) for t in batch.column(2).to_pylist()]
-            fps = np.array([x for _, x in found], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), *(pa.array(fps[:, k]) for k in range(4))], names=["_key", "_hash", "n", "f0", "f1", "f2", "f3"])
+            own = [shingles(t, width) for t in batch.column(2).to_pylist()]
+            fps = np.array([wide_fingerprint(x) for x in own], np.uint64).reshape(-1, 4).view(np.int64)
+            sets = [x.astype("<u8").tobytes() for x in own]
+            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+            columns = [pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), *(pa.array(fps[:, k]) for k in range(4)), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_key", "_hash", "node", "n", "f0", "f1", "f2", "f3", "shingles"])
         tidy()
 
-    rows = source.mapInArrow(run, "_key long, _hash long, n long, f0 long, f1 long, f2 long, f3 long")
-    rows = settle(rows.withColumn("node", F.xxhash64("n", "f0", "f1", "f2", "f3")), "simhash-wide")
+    rows = settle(source.mapInArrow(run, "_key long, _hash long, node long, n long, f0 long, f1 long, f2 long, f3 long, shingles binary"), "simhash-wide")
     points = rows.select("node", "n", "f0", "f1", "f2", "f3").dropDuplicates(["node"])
-    ring = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log("n") / math.log(1 / similarity))).cast("int")
+    ring = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log("n") / math.log(1 / similarity) + 1e-9)).cast("int")
     ringed = settle(points.withColumn("ring", F.explode(F.array(ring, ring + 1))), "simhash-rings")
-    parts_of = {r["ring"]: max(1, math.ceil(r["count"] / RING_BLOCK)) for r in ringed.groupBy("ring").count().collect()}
+    sizes = ringed.groupBy("ring").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).collect()
+    parts_of = {r["ring"]: max(1, math.ceil(r["points"] / RING_BLOCK), math.ceil(r["shingles"] / RING_SHINGLES)) for r in sizes}
     counts = F.create_map(*(F.lit(x) for kv in parts_of.items() for x in kv)) if parts_of else F.create_map(F.lit(0), F.lit(1))
     own = F.pmod(F.xxhash64("node", F.lit(1)), counts[F.col("ring")]).cast("int")
     blocks = ringed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), counts[F.col("ring")] - 1)))
     blocks = blocks.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    place = ["ring", "lo", "hi"]
+
+    def prints(group):
+        return np.stack([group.column(f"f{k}").to_numpy().view(np.uint64) for k in range(4)], 1)
+
+    def look(key, group):
+        found = np.zeros(len(group), bool)
+        for a, b in candidates(prints(group), group.column("n").to_numpy(), similarity):
+            found[a] = found[b] = True
+        return group.filter(pa.array(found))
 
     def forest(key, group):
         group = group.sort_by("node")
-        fps = np.stack([group.column(f"f{k}").to_numpy().view(np.uint64) for k in range(4)], 1)
         nodes = group.column("node").to_numpy()
-        top = similar(fps, group.column("n").to_numpy(), similarity)
+        top = similar(prints(group), [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")], similarity)
         tied = np.flatnonzero(top != np.arange(len(top)))
         return pa.table({"a": pa.array(nodes[tied]), "b": pa.array(nodes[top[tied]])})
 
-    links = blocks.select("ring", "lo", "hi", "node", "n", "f0", "f1", "f2", "f3").groupBy("ring", "lo", "hi").applyInArrow(forest, "a long, b long")
-    return rows, components(links, "simhash-similar")
+    found = blocks.select(*place, "node", "n", "f0", "f1", "f2", "f3").groupBy(*place).applyInArrow(look, "ring int, lo int, hi int, node long, n long, f0 long, f1 long, f2 long, f3 long")
+    found = settle(found.drop("n"), "simhash-candidates")
+    sets = rows.select("node", "shingles").join(found.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    links = found.join(sets, "node").groupBy(*place).applyInArrow(forest, "a long, b long")
+    return rows.select("_key", "_hash", "node"), components(links, "simhash-similar")
 
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without near copies: of each group of linked texts the row with the smallest (doc_id, text hash) stays, once.
 
-    Two texts are linked if 256 SimHash bits over their shingles say that the shingles' Jaccard similarity is
-    `similarity` or more (within MARGIN standard errors) and if their numbers of shingles allow for it. Null texts count
-    as empty, and all texts without words are copies of each other. Extra columns stay.
+    Two texts are linked if their distinct shingles have a Jaccard similarity of `similarity` or more. 256 SimHash bits
+    choose the pairs that are compared (within MARGIN standard errors). Null texts count as empty, and all texts without
+    words are copies of each other. Extra columns stay.
     """
     rows, parts = similar_components(df, id, text, width, similarity)
     group = rows.join(parts, "node", "left").select(F.coalesce("component", "node").alias("group"), F.struct("_key", "_hash").alias("row"))

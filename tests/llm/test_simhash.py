@@ -84,3 +84,19 @@ def test_ties_nulls_and_empty(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(df).collect()), key=str)
     assert got == [(2, 2), (3, 2), (3, None), (3, None), (None, None)]
     assert simhash.simhash_components(df.limit(0)).count() == 0
+
+
+def test_links_are_exact_around_the_threshold(spark):
+    rows, want = [], set()
+    for k in range(240):
+        n, similarity = (30, 100, 300)[k % 3], (0.7, 0.75, 0.79, 0.8, 0.82, 0.85)[k // 3 % 6]
+        words = [f"a{k}_{i}" for i in range(n)]
+        shared = round(2 * n * similarity / (1 + similarity))  # of n single-word shingles each
+        other = words[:shared] + [f"b{k}_{i}" for i in range(n - shared)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if shared < 0.8 * (2 * n - shared):
+            want.add(2 * k + 1)
+    rows += [(900, "again and again " * 5), (901, "again and again " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df, width=1).collect()}
+    assert kept == {2 * k for k in range(240)} | want | {900}
