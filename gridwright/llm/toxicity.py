@@ -6,8 +6,8 @@ character trigram model, counted over all documents, finds the likeliest word. T
 a decision list of words and stems, learned from labelled rows by greedy cover: the next entry is the one that explains
 most toxic rows that are left, until an entry would explain too few.
 
-Ordinary tokens (letters only, no letter three times in a row) have one path through their lattice and are taken as
-they are. A worker remembers recent tokens; emptying that store changes the time taken and nothing else.
+Ordinary tokens (letters only, no letter twice in a row) have one path through their lattice and are taken as they are.
+Other words are taken as they are and as restored. A worker remembers recent tokens; emptying that store changes the time taken and nothing else.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ WAYS = 4
 
 CLASSES = 28  # 0: no letter, 1-26: a-z, 27: any other letter
 ODD_ONE = re.compile("[0-9@$!|+(€£¡*а-яіѕοαι]")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
-SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+REPEATED = re.compile(r"([^\W\d_])\1")
+SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 PIECED = re.compile(r"^[^\s](?:[.\-_*~'·]+[^\s.\-_*~'·]){2,}$")
 LETTERS = re.compile(r"[^\W\d_]+")
 

@@ -72,3 +72,13 @@ def test_empty_tables(spark):
     assert toxicity.score_texts(empty, model).count() == 0
     one = spark.createDataFrame([(None, None), (None, "x" * 100_000 + " 1" * 50_000)], "doc_id long, text string")
     assert [r["score"] for r in toxicity.score_texts(one, model).collect()] == [0.0, 0.0]
+
+
+def test_doubled_letters_and_wide_spelling(spark):
+    rows, labels = corpus()
+    documents, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit_outside_fold(documents, marks)
+    odd = ["naastyword", "vilethiing", "nnasttyword", "n  a  s  t  y  w  o  r  d", "v\ni\nl\ne\nt\nh\ni\nn\ng", "v \t i l  e\r\nt h i n g", "yellow", "y  e  l  l  o  w"]
+    df = spark.createDataFrame([(i, f"river {t} stone") for i, t in enumerate(odd)], "doc_id long, text string")
+    assert [r["score"] >= 0.5 for r in toxicity.score_texts(df, model).orderBy("doc_id").collect()] == [True] * 6 + [False] * 2
+    assert model.restored_text("yellow") == "yellow"
