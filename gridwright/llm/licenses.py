@@ -3,9 +3,10 @@
 Texts are taken as words: runs of ASCII letters, digits and characters beyond ASCII, A-Z in lower case. Spark joins the
 rolling hashes of GRAM consecutive words to the places at which they stand in the templates. A hit votes for the
 diagonal (place in the text less place in the template); votes are summed for each text, template and diagonal, and
-diagonals of a template that are at most SHIFT apart, and overlap, are merged, so a text with a word more or less still
-votes together. A short phrase stands where one diagonal holds all its hits, word by word; a longer template is found if
-merged diagonals hold at least COVER of its hits.
+diagonals of a template that are at most SHIFT apart are merged, so a text with a word more or less still votes together.
+A short phrase stands where one diagonal holds all its hits, word by word. Of a longer template the merged diagonals must
+hold at least COVER of its distinct hits; then their span is verified: its words are aligned with the template's (match
++2, mismatch and gap -1, local), and the share of a full copy's points, at least COVER, is the score.
 
 Hashes of a text that occur in no template cannot join; they are left out where they are made. The templates are a
 table of bounded size (MOST_WORDS), which is checked.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridwright.llm._shared import settle, text_of
-from gridwright.llm.contamination import words_of
+from gridwright.llm.contamination import MATCH, scored, words_of
 
 GRAM, SHIFT, COVER, MOST_WORDS = 2, 3, 0.7, 100_000
 #: Phrases whose every place counts, with their labels.
@@ -94,14 +95,35 @@ def license_hits(df: DataFrame, base: dict[str, str] = BASE, templates: dict[str
     listed_places = [(int(g), t, k, len(own_grams[t]), listed[t][1], listed[t][2]) for t in range(len(listed)) for k, g in enumerate(own_grams[t].tolist())]
     places = F.broadcast(spark.createDataFrame(listed_places, "gram long, template int, k long, grams long, label string, exact boolean"))
     hits = rows.select("row", F.inline("grams")).join(places, "gram")
-    votes = hits.groupBy("row", "template", "label", "exact", "grams", (F.col("at") - F.col("k")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    votes = hits.groupBy("row", "template", "label", "exact", "grams", (F.col("at") - F.col("k")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.collect_set("k").alias("ks"))
     whole = votes.where(F.col("exact") & (F.col("votes") == F.col("grams")))
     exact = whole.select("row", "template", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("grams") + GRAM - 1).alias("end_word"), F.lit(1.0).alias("score"))
     by_place = Window.partitionBy("row", "template").orderBy("diagonal")
     broken = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by_place) > SHIFT).cast("int"), F.lit(1))
     merged = votes.where(~F.col("exact")).withColumn("broken", broken).withColumn("group", F.sum("broken").over(by_place))
-    merged = merged.groupBy("row", "template", "label", "exact", "grams", "group").agg(F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("lo")).alias("first_word"), F.max(F.col("diagonal") + F.col("hi") + GRAM).alias("end_word"))
-    merged = merged.withColumn("score", F.least(F.lit(1.0), F.col("votes") / F.col("grams"))).where(F.col("score") >= COVER)
+    merged = merged.groupBy("row", "template", "label", "exact", "grams", "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ks")))).alias("held"), F.min(F.col("diagonal") + F.col("lo")).alias("first_word"), F.max(F.col("diagonal") + F.col("hi") + GRAM).alias("end_word"))
+    merged = merged.where(F.col("held") >= COVER * F.col("grams")).select("row", "template", "label", "exact", "first_word", "end_word")
+    spans = merged.join(rows.select("row", "grams"), "row").withColumn("grams", F.filter("grams", lambda g: (g["at"] >= F.col("first_word")) & (g["at"] + GRAM <= F.col("end_word"))))
+    wordings = [np.array([vocabulary[w] for w in own], np.int32) for own in words]
+
+    def verify(batches):
+        for batch in batches:
+            spans, todo, out = batch.to_pylist(), [], []
+            for r in spans:  # a span's words are those of its grams; others stand in no template next to each other
+                own = np.zeros(r["end_word"] - r["first_word"], np.int32)
+                for g in r["grams"]:
+                    at, key = g["at"] - r["first_word"], g["gram"]
+                    for k in reversed(range(GRAM)):
+                        key, own[at + k] = divmod(key, size)
+                todo.append((wordings[r["template"]], own))
+            for r, (wording, _), (points, first, end) in zip(spans, todo, scored(todo), strict=True):
+                if points >= COVER * MATCH * len(wording):
+                    out.append((r["row"], r["template"], r["label"], r["exact"], r["first_word"] + first, r["first_word"] + end, points / (MATCH * len(wording))))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "template", "label", "exact", "first_word", "end_word", "score"])
+
+    merged = spans.mapInArrow(verify, "row long, template int, label string, exact boolean, first_word long, end_word long, score double")
     hits = exact.union(merged.select(exact.columns)).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("template", "label", "exact", "first_word", "end_word", "score"))).alias("hits"))
     return rows.join(hits, "row", "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
 

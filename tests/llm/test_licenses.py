@@ -45,3 +45,14 @@ def test_wordings_with_a_word_more_or_less(spark):
     assert got[2]["labels"] == "" and got[3]["labels"] == ""
     hit = licenses.license_hits(spark.createDataFrame(rows[:1], "doc_id long, text string")).first()["hits"][0]
     assert (hit["first_word"], hit["end_word"]) == (2, 10)
+
+
+def test_spans_are_verified_word_by_word(spark):
+    rows = [
+        (0, "General Public License, General Public License"),
+        (1, "of this of this any person any person a copy a copy to any to any is hereby is hereby of charge of charge free of free of granted free granted free"),
+        (2, "GNU Lesser General Public License, version 3"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["labels"] == "gpl" and got[1]["labels"] == "" and got[1]["score"] == 0.0
+    assert got[2]["labels"] == "gpl,lgpl" and got[2]["score"] == 1.0
