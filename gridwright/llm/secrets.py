@@ -3,7 +3,7 @@
 Everything over the documents is DataFrame functions: extraction, features, and the forest itself, which is written out
 as one CASE expression for each tree. The forest is trained on the driver from labelled findings, a bounded table
 (`labelled`, or by default findings made up by rule). A candidate is a run of at least 12 of A-Z a-z 0-9 + / _ . ~ -
-with a digit. Features: its length, shares of character classes and their transitions, variety, dictionary coverage,
+with a digit or a known prefix, or any run of them behind = or :, with a quote or up to two blanks between. Features: its length, shares of character classes and their transitions, variety, dictionary coverage,
 path shape, known prefixes, and the words before it.
 """
 
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from gridwright.llm._shared import text_of
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_.~-])(?=[A-Za-z+/_.~-]{0,400}[0-9])[A-Za-z0-9+/_.~-]{12,}+={0,2}"
 #: Characters kept of what stands before a candidate.
 NEAR = 80
 #: Labelled findings taken at most (those with the smallest hash); trees, their depth, rows in a leaf at least.
@@ -29,6 +28,9 @@ MASK = "[SECRET]"
 SECRET_WORDS = "password passwd pwd secret token api_key apikey api-key access_key accesskey private_key auth_key client_secret bearer credential credentials"
 HARMLESS_WORDS = "commit sha sha1 sha256 md5 checksum digest uuid guid phone tel fax card visa isbn doi order invoice version build ticket etag revision ip host server"
 PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ glpat- sk_live_ sk_test_ xoxb- xoxp- AIza SG. npm_ pypi-"
+_RUN = "[A-Za-z0-9+/_.~-]"
+_TIED = r"(?:(?<=[=:])|(?<=[=:][\s\"'])|(?<=[=:]\s[\s\"']))"
+CANDIDATE = rf"(?<!{_RUN})(?:(?:(?=[A-Za-z+/_.~-]*+[0-9])|(?=(?:{'|'.join(x.replace('.', '[.]') for x in PREFIXES.split())}))){_RUN}{{12,}}+|{_TIED}{_RUN}++)={{0,2}}"
 DICTIONARY = (
     "about access account admin after alpha amazon android apache april archive article asset august author backup banner basic beta block blog book branch browser build cache category "
     "center change check class client cloud code color com commit common company config connect content copy core country css data date december default delete design dev device digest docs "
@@ -87,7 +89,7 @@ def made_up(n: int = 4000, seed: int = 7) -> list[dict]:
     text = lambda: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.randint(0, 6)))
     rows = []
     for _ in range(n):
-        near, kind = text(), rng.randrange(20)
+        near, kind = text(), rng.randrange(24)
         name = rng.choice(SECRET_WORDS.split())
         name = rng.choice([name, name.upper(), name.title(), "db_" + name, "my " + name])
         tie = rng.choice(["=", ": ", " = ", "='", '="', ' = "', '": "', ":"])
@@ -118,6 +120,22 @@ def made_up(n: int = 4000, seed: int = 7) -> list[dict]:
             value += rng.choice(["", f"-{rng.choice(words)}"])
         elif kind < 19:
             value, label = rng.choice("-_.").join([rng.choice(words + syllables) for _ in range(rng.randint(2, 4))] + [str(rng.randint(1, 99999))]), 0
+        elif kind < 21:  # letters only, or short
+            near, label = near + " " + name + tie, 1
+            value = rng.choice([
+                lambda: "".join(rng.choice(syllables + words).title() for _ in range(rng.randint(2, 4))),
+                lambda: pick(alnum[:52], rng.randint(6, 40)),
+                lambda: pick(alnum, rng.randint(5, 11)),
+                lambda: "".join(rng.choices(syllables, k=rng.randint(3, 6))),
+                lambda: rng.choice(words + syllables) + str(rng.randint(1, 9999)),
+            ])()
+        elif kind < 22:
+            value, label = rng.choice(PREFIXES.split()) + pick(alnum[:52], rng.randint(16, 40)), 1
+        elif kind < 23:  # what a secret's name is followed by in prose and in forms
+            value, near, label = rng.choice([*words, *words, "a", "the", "is", "none", "null", "true", "false", "string", "required", "hidden", "/", "-"]), near + " " + name + tie, 0
+        elif rng.random() < 0.5:
+            value, label = rng.choice([rng.choice(words), "".join(rng.choices(syllables, k=rng.randint(1, 5))), pick(digits, rng.randint(1, 8)), rng.choice(words).title() + rng.choice(words).title()]), 0
+            near = near + " " + rng.choice(words + syllables) + tie
         else:
             value, label = "".join(rng.choices(syllables, k=rng.randint(5, 9))) + str(rng.randint(1, 99)), 0
         rows.append({"value": value, "before": near[-NEAR:], "label": label})
@@ -185,7 +203,7 @@ def forest_score(forest: list, value: Column, before: Column) -> Column:
 
 def _split(text: Column) -> tuple[Column, Column]:
     """Candidates of a text, and what stands before, between and after them."""
-    some = text.rlike("[0-9]")
+    some = text.rlike(f"[0-9=:]|{_any(PREFIXES)}")
     return F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")), F.when(some, F.split(text, CANDIDATE, -1)).otherwise(F.array(text))
 
 
