@@ -79,19 +79,51 @@ def decode_block(data: bytes | None, compression: int, predictor: int, stride: i
     return out[:, :w]
 
 
-def to_pixels(blocks: DataFrame, strict: bool = False, window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """blocks (of the source) -> path, x, y, v. window: x, y, width, height; rows outside are not even made."""
+def to_pixels(blocks: DataFrame, strict: bool = False, window: tuple[int, int, int, int] | None = None, errors: bool = False) -> DataFrame:
+    """blocks (of the source) -> path, x, y, v. window: x, y, width, height; rows outside are not even made. Blocks with
+    columns rx, ry, rw and rh have each their own window, and are counted from its corner. errors: a column error more, and a row without x, y and v for
+    each row that stands for a file or directory which could not be read; otherwise these have no pixels."""
+    own = {"rx", "ry", "rw", "rh"} <= set(blocks.columns)
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
+                if r["w"] is None:
+                    if errors:
+                        yield pa.RecordBatch.from_arrays([pa.array([r["path"]], pa.string()), *(pa.nulls(1, pa.int32()) for _ in "xyv"), pa.array([r["error"]], pa.string())], names=["path", "x", "y", "v", "error"])
+                    continue
                 v = decode_block(r["data"], r["compression"], r["predictor"], r["stride"], r["w"], r["h"], strict)
-                x, y = np.meshgrid(np.arange(r["x0"], r["x0"] + r["w"], dtype=np.int32), np.arange(r["y0"], r["y0"] + r["h"], dtype=np.int32))
-                keep = np.ones(v.shape, bool) if window is None else (x >= window[0]) & (x < window[0] + window[2]) & (y >= window[1]) & (y < window[1] + window[3])
-                v = v[keep].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(v), pa.string()), pa.array(x[keep]), pa.array(y[keep]), pa.array(v)], names=["path", "x", "y", "v"])
+                x0, y0 = r["x0"], r["y0"]
+                box = (r["rx"], r["ry"], r["rw"], r["rh"]) if own else window
+                if box is not None:
+                    left, top = max(box[0] - x0, 0), max(box[1] - y0, 0)
+                    v = v[top : max(box[1] + box[3] - y0, 0), left : max(box[0] + box[2] - x0, 0)]
+                    x0, y0 = x0 + left, y0 + top
+                if own:
+                    x0, y0 = x0 - box[0], y0 - box[1]
+                x, y = np.meshgrid(np.arange(x0, x0 + v.shape[1], dtype=np.int32), np.arange(y0, y0 + v.shape[0], dtype=np.int32))
+                columns = [pa.array([r["path"]], pa.string()).take(pa.array(np.zeros(v.size, np.int32))), pa.array(x.ravel()), pa.array(y.ravel()), pa.array(v.ravel().astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.nulls(v.size, pa.string())] * errors, names=["path", "x", "y", "v", *["error"] * errors])
 
-    return blocks.mapInArrow(run, schema.PIXELS)
+    return blocks.mapInArrow(run, schema.PIXELS + ", error string" * errors)
+
+
+def to_lines(blocks: DataFrame, strict: bool, window: tuple[int, int, int, int]) -> DataFrame:
+    """y, x, piece (binary): each block's part of each line of the window, counted from the window's corner."""
+    left, top, width, height = window
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["w"] is None:
+                    continue
+                v = decode_block(r["data"], r["compression"], r["predictor"], r["stride"], r["w"], r["h"], strict)
+                x0, y0 = max(left, r["x0"]), max(top, r["y0"])
+                v = v[y0 - r["y0"] : max(0, top + height - r["y0"]), x0 - r["x0"] : max(0, left + width - r["x0"])]
+                columns = [pa.array(np.arange(y0 - top, y0 - top + len(v), dtype=np.int32)), pa.array(np.full(len(v), x0 - left, np.int32)), pa.array([line.tobytes() for line in v], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["y", "x", "piece"])
+
+    return blocks.mapInArrow(run, "y int, x int, piece binary")
 
 
 def transcode(blocks: DataFrame, target: int) -> DataFrame:

@@ -7,6 +7,8 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwright.functions.code_tables import CODE_TABLES
+
 # Tags, field types and codes of the TIFF and GeoTIFF formats with the names that results show.
 TAG_NAMES = {
     254: "NewSubfileType", 255: "SubfileType", 256: "ImageWidth", 257: "ImageLength", 258: "BitsPerSample", 259: "Compression", 262: "PhotometricInterpretation",
@@ -42,6 +44,12 @@ CODES = {
     "linear_unit": {9001: "Linear_Meter", 9002: "Linear_Foot", 9003: "Linear_Foot_US_Survey", 9004: "Linear_Foot_Modified_American", 9005: "Linear_Foot_Clarke", 9006: "Linear_Foot_Indian", 9007: "Linear_Link", 9008: "Linear_Link_Benoit", 9009: "Linear_Link_Sears", 9010: "Linear_Chain_Benoit", 9011: "Linear_Chain_Sears", 9012: "Linear_Yard_Sears", 9013: "Linear_Yard_Indian", 9014: "Linear_Fathom", 9015: "Linear_Mile_International_Nautical"},
     "angular_unit": {9101: "Angular_Radian", 9102: "Angular_Degree", 9103: "Angular_Arc_Minute", 9104: "Angular_Arc_Second", 9105: "Angular_Grad", 9106: "Angular_Gon", 9107: "Angular_DMS", 9108: "Angular_DMS_Hemisphere"},
 }
+CODES |= CODE_TABLES
+#: The table that a key's values are taken from.
+KEY_TABLES = {
+    1024: "model_type", 1025: "raster_type", 2048: "geographic_cs", 2050: "geodetic_datum", 2051: "prime_meridian", 2052: "linear_unit", 2054: "angular_unit", 2056: "ellipsoid", 2060: "angular_unit",
+    3075: "coord_transformation", 3076: "linear_unit", 4096: "vertical_cs", 4099: "linear_unit",
+}
 # Descriptions of projected systems, (first code, last code, text, number taken off for the zone or None).
 PROJECTED = (
     (3857, 3857, "WGS 84 / Web Mercator (Google Maps, OpenStreetMap)", None),
@@ -128,6 +136,14 @@ def describe_projected(code: Column, other: Column | None = None) -> Column:
     return found
 
 
+def geo_key_text(key: Column, location: Column, code: Column, value: Column) -> Column:
+    """A GeoKey's value as shown: the name of a code, the description of a projected system, else the value itself."""
+    found = F.when(key == 3072, describe_projected(code))
+    for k, table in KEY_TABLES.items():
+        found = found.when(key == k, lookup(CODES[table], code, value))
+    return F.when(location == 0, found.otherwise(value)).otherwise(value)
+
+
 def describe_projection(epsg: Column, method: Column, geographic: Column) -> Column:
     number = lambda text, c: F.concat(F.lit(text), c.cast("string"))
     return (

@@ -133,4 +133,4 @@ def parse_csv_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     kept = own.where(F.expr("try_cast(get(p, 0) as int)").between(0, 65535) & (as_hex | F.coalesce(as_bytes, F.lit(False))))
     pick = lambda c, i: F.when(as_hex, F.col(f"c.{c}")).when((F.col("n") == 3) & (F.lit(i) == 3), F.lit(0)).otherwise(byte(i)).alias(c)
     label = F.when(as_hex & (F.col("n") == 3), F.get("p", F.lit(2))).when(F.col("n") == 5, F.get("p", F.lit(4)))
-    return kept.select(*(x for x in lines.columns if x != line), F.expr("cast(get(p, 0) as int)").alias("value"), label.alias("label"), pick("r", 1), pick("g", 2), pick("b", 3))
+    return kept.select(*(x for x in lines.columns if x != line), F.expr("try_cast(get(p, 0) as int)").alias("value"), label.alias("label"), pick("r", 1), pick("g", 2), pick("b", 3))

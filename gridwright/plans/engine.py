@@ -61,12 +61,24 @@ class RasterEngine:
         """x, y, v of the window (x, y, width, height), counted from its corner, or of the whole image."""
         image = self.image(path, ifd_no)
         x, y, w, h = window or (0, 0, image.width, image.height)
+        blocks = self._blocks(image, (x, y, w, h), ifd_no)
+        return pixels.crop(codecs.to_pixels(blocks, self.mode == "failfast", (x, y, w, h)).select("x", "y", "v"), x, y, w, h)
+
+    def _blocks(self, image: Image, window: tuple[int, int, int, int], ifd_no: int = 0) -> DataFrame:
+        x, y, w, h = window
         pixels.check_window(x, y, w, h, image.width, image.height)
         tiff.check_layout(image.ifd)
         codecs.codec(image.ifd.one(259, 1))
         reach = max(image.ifd.one(322) or 0, image.ifd.one(323) or 0, image.width if not image.ifd.one(322) else 0, image.ifd.one(278, image.height) or 0)
-        blocks = self.read(path, "blocks").where(f"ifd_no = {ifd_no} and x0 < {x + w} and y0 < {y + h} and x0 > {x - reach} and y0 > {y - reach}")
-        return pixels.crop(codecs.to_pixels(pixels.blocks_of_region(blocks, x, y, w, h), self.mode == "failfast", (x, y, w, h)).select("x", "y", "v"), x, y, w, h)
+        blocks = self.read(image.path, "blocks").where(f"ifd_no = {ifd_no} and x0 < {x + w} and y0 < {y + h} and x0 > {x - reach} and y0 > {y - reach}")
+        return pixels.blocks_of_region(blocks, x, y, w, h)
+
+    def _lines(self, image: Image, window: tuple[int, int, int, int]) -> Iterator[bytes]:
+        """A window's lines from the top as they are: pieces of lines are exchanged, not pixels."""
+        pieces = codecs.to_lines(self._blocks(image, window), self.mode == "failfast", window)
+        whole = F.aggregate(F.array_sort(F.collect_list(F.struct("x", "piece"))), F.lit(b""), lambda line, p: F.concat(line, p["piece"]))
+        for r in pieces.groupBy("y").agg(whole.alias("line")).orderBy("y").toLocalIterator():
+            yield bytes(r["line"])
 
     def image(self, path: str, ifd_no: int = 0) -> Image:
         if not path.lower().endswith(tiff.SUFFIXES):
@@ -159,9 +171,9 @@ class RasterEngine:
         for r in self.analyze(path).orderBy("path", "ifd_no").collect():
             lines += [f"{r['path']} directory {r['ifd_no']} ({r['kind']}) at {r['ifd_offset']}, {r['entry_count']} entries", f"  {r['width']} x {r['height']}, {r['samples']} samples, {r['photometric_name']}", f"  compression {r['compression']} ({r['compression_name']}), {'' if r['supported'] else 'not '}supported", f"  {r['projection']}"]
             lines += [f"  pixel scale {r['scale']}"] * bool(r["scale"]) + [f"  tie point {r['tiepoint']}"] * bool(r["tiepoint"])
-        for k in self.read(path, "geokeys").withColumn("name", naming.geo_key_name(F.col("key_id"))).collect():
-            text = self.spark.range(1).select(naming.describe_projected(F.lit(int(k["value"])))).first()[0] if k["key_id"] == 3072 and k["value"].isdigit() else k["value"]
-            lines.append(f"  {k['name']}: {text}")
+        text = naming.geo_key_text(F.col("key_id"), F.col("location"), F.col("value_offset"), F.col("value"))
+        for k in self.read(path, "geokeys").select(naming.geo_key_name(F.col("key_id")).alias("name"), text.alias("text")).collect():
+            lines.append(f"  {k['name']}: {k['text']}")
         for t in catalog.first_tags(catalog.describe_tags(self.read(path, "tags")), by=("path", "ifd_no")).orderBy("path", "ifd_no", "rank").collect():
             lines.append(f"  {t['tag']} {t['tag_name']} {t['type_name']} x{t['count']}")
         return "\n".join(lines)
@@ -203,7 +215,7 @@ class RasterEngine:
         codec = codecs.codec(compression)
         out = open(output, "wb") if named else output  # noqa: SIM115
         try:
-            rows = self._rows(df, channels)
+            rows = self._lines(image, (x, y, w, h)) if plain else self._rows(df, channels)
             if as_png:
                 writers.write_png(out, rows, w, h, {1: 1, 3: 3, 4: 4}[len(channels)])
             else:
@@ -231,7 +243,7 @@ class RasterEngine:
         image = self.image(path)
         x, y, w, h = self.resolve(image, region, **request) or (0, 0, image.width, image.height)
         with open(output, "wb") as out:
-            writers.write_array(out, self._rows(self.pixels(path, (x, y, w, h)), ("v",)), w, h, kind)
+            writers.write_array(out, self._lines(image, (x, y, w, h)), w, h, kind)
 
     def extract_colormap(self, path: str, output: str, name: str = "raster") -> DataFrame:
         """Writes a palette, or any colormap file, as a style, and returns its entries."""
@@ -240,6 +252,17 @@ class RasterEngine:
             out.write(colormaps.sld_text(entries, name, kind))
         return entries
 
+    def save_palette(self, path: str, output: str, colormap: str, compression: int = 1) -> None:
+        """Writes the image as a palette TIFF: its values are places in a ColorMap of 256 colours, made of the colormap's
+        entries and the steps between them."""
+        image = self.image(path)
+        entries, _ = colormaps.read_colormap(self.spark, colormap)
+        table = [(r["r"], r["g"], r["b"]) for r in palette.palette_table(entries.where("value between 0 and 255"), 256).orderBy("v").collect()]
+        window, codec = (0, 0, image.width, image.height), codecs.codec(compression)
+        more = self._kept_tags(image, None, True) | {262: (3, [3]), 320: writers.palette_tag(table)}
+        with open(output, "wb") as out:
+            writers.write_image(out, self._lines(image, window), image.width, image.height, 1, more, codec.encode, codec.code, image.width * image.height >= 2**32 - 2**20)
+
     def convert_compression(self, path: str, output: str, compression: int | str) -> None:
         """The same directories, tags and pixels with other block compression; little-endian, classic or Big as before."""
         codec = codecs.codec_named(compression) if isinstance(compression, str) else codecs.codec(compression)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gridwright.errors import RasterError
 from gridwright.functions import codecs, geo
-from gridwright.operators import pixels
 from gridwright.plans.engine import RasterEngine
 from gridwright.sources import tiff, writers
 
@@ -24,18 +23,45 @@ def regions(engine: RasterEngine, folder: str, box: tuple[float, float, float, f
 
 
 def crop(engine: RasterEngine, folder: str, box: tuple[float, float, float, float], epsg: int | None) -> DataFrame:
-    """path, x, y, v of the box in every file, counted from each window's corner. Blocks outside are never decoded."""
+    """path, x, y, v, error of the box in every file, counted from each window's corner. Blocks outside are never decoded.
+    A file whose main image can't be read has one row, without x, y and v, with its error."""
     windows = regions(engine, folder, box, epsg)
-    blocks = engine.read(folder, "blocks").where("ifd_no = 0").join(windows, "path")
-    near = blocks.where("x0 < rx + rw and y0 < ry + rh and x0 + w > rx and y0 + h > ry").drop("rx", "ry", "rw", "rh")
-    cells = codecs.to_pixels(near, engine.mode == "failfast").join(windows, "path")
-    inside = cells.where("x >= rx and x < rx + rw and y >= ry and y < ry + rh")
-    return inside.select("path", (F.col("x") - F.col("rx")).cast("int").alias("x"), (F.col("y") - F.col("ry")).cast("int").alias("y"), "v")
+    blocks = engine.read(folder, "blocks").where("ifd_no = 0").join(windows, "path", "left")
+    near = blocks.where("w is null or x0 < rx + rw and y0 < ry + rh and x0 + w > rx and y0 + h > ry")
+    return codecs.to_pixels(near, engine.mode == "failfast", errors=True)
 
 
 def stats(engine: RasterEngine, folder: str) -> DataFrame:
-    """path, min_value, max_value of every file's main image."""
-    return pixels.grey_stats(codecs.to_pixels(engine.read(folder, "blocks").where("ifd_no = 0"), engine.mode == "failfast"), ["path"])
+    """path, min_value, max_value, error of every file's main image; one that can't be read has an error and nulls."""
+    cells = codecs.to_pixels(engine.read(folder, "blocks").where("ifd_no = 0"), engine.mode == "failfast", errors=True)
+    return cells.groupBy("path").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.max("error").alias("error"))
+
+
+class Measured:
+    """A file that is written forward twice: first nowhere, to learn which bytes are changed afterwards and to what, then
+    as a stream with these in place. So neither memory nor a local folder holds the file."""
+
+    def __init__(self):
+        self.out, self.end, self.at, self.patches = None, 0, 0, {}
+
+    def again(self, out) -> None:
+        self.out, self.end, self.at = out, 0, 0
+
+    def seek(self, place: int, whence: int = 0) -> None:
+        self.at = self.end + place if whence == 2 else place
+
+    def write(self, data: bytes) -> None:
+        if self.at < self.end:  # a patch: known by the second time
+            self.patches[self.at] = bytes(data)
+            return
+        if self.out:
+            done = bytearray(data)
+            for place, patch in self.patches.items():
+                if self.end <= place < self.end + len(done):
+                    done[place - self.end : place - self.end + len(patch)] = patch
+            self.out.write(bytes(done))
+        self.end += len(data)
+        self.at = self.end
 
 
 def recompressed(source: tiff.Bytes, out, target: int) -> int:
@@ -58,29 +84,27 @@ def convert_compression(engine: RasterEngine, folder: str, output: str, compress
     """Converts every file of folder into output, a folder that all executors share, one file a row of a task.
 
     Returns path, output, before, after (bytes) and error of each file. The result is written while it is computed: run
-    it once, to the end. A task that is repeated writes its files again.
+    it once, to the end. A task that is repeated writes its files again. Each block is compressed twice, as a stream of
+    bytes can't be changed afterwards.
     """
     code = (codecs.codec_named(compression) if isinstance(compression, str) else codecs.codec(compression)).code
     strict = engine.mode == "failfast"
 
     def run(batches):
-        import tempfile
-
         for batch in batches:
             rows = []
             for path in batch.column("path").to_pylist():
                 target = posixpath.join(output, posixpath.basename(path))
                 system, inner = tiff.opened(path)
                 try:
-                    with system.open_input_file(inner) as f, tempfile.TemporaryFile() as made:
-                        source = tiff.Bytes(f, f.size())
-                        after = recompressed(source, made, code)
-                        made.seek(0)
+                    with system.open_input_file(inner) as f:
+                        source, made = tiff.Bytes(f, f.size()), Measured()
+                        recompressed(source, made, code)
                         to, place = tiff.opened(target)
                         to.create_dir(posixpath.dirname(place), recursive=True)
                         with to.open_output_stream(place) as out:
-                            while chunk := made.read(1 << 20):
-                                out.write(chunk)
+                            made.again(out)
+                            after = recompressed(source, made, code)
                     rows.append((path, target, source.size, after, None))
                 except Exception as why:
                     if strict:

@@ -167,11 +167,11 @@ def block_grid(spark, sf_dir):
     return pixels.block_grid(orders(spark, sf_dir), 16, 16)
 
 
-@query(f"select cast(x // 16 as int) bx, cast(y // 16 as int) \"by\", count(*) n from {ORDERS} where x // 16 * 16 < 50 and y // 16 * 16 < 60 and x // 16 * 16 + 16 > 20 and y // 16 * 16 + 16 > 30 group by 1, 2")
+@query(f"select cast(x // 16 as int) bx, cast(y // 16 as int) \"by\", count(*) n from {ORDERS} where x // 16 * 16 < 50 and y // 16 * 16 < 35 and x // 16 * 16 + 16 > 20 and y // 16 * 16 + 16 > 5 group by 1, 2")
 def block_prune(spark, sf_dir):
     grid = pixels.block_grid(orders(spark, sf_dir), 16, 16)
     placed = grid.withColumns({"x0": F.col("bx") * 16, "y0": F.col("by") * 16, "w": F.lit(16), "h": F.lit(16)})
-    return pixels.blocks_of_region(placed, 20, 30, 30, 30).select("bx", "by", "n")
+    return pixels.blocks_of_region(placed, 20, 5, 30, 30).select("bx", "by", "n")
 
 
 @query(f"select y, concat(cast(y as varchar), ',', string_agg(cast(v as varchar), ',' order by x)) line from {EVENTS} group by y")
@@ -597,4 +597,4 @@ def tiff_roundtrip(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["path", "length", "content"])
 
     files = _packed(events(spark, sf_dir), 250).mapInArrow(made, schema.FILES)
-    return watch.pixels(files).select("x", (F.col("y") + F.col("path").cast("int") * 250).alias("y"), "v")
+    return watch.pixels(files).where("error is null").select("x", (F.col("y") + F.col("path").cast("int") * 250).alias("y"), "v")

@@ -8,7 +8,7 @@ IFDS = (
 )
 TAGS = "path string, ifd_no int, seq int, tag int, field_type int, count long, value_offset long, ints array<long>, doubles array<double>, text string"
 GEOKEYS = "path string, ifd_no int, key_id int, location int, count int, value_offset int, value string"
-BLOCKS = "path string, ifd_no int, block_no int, bx int, by int, x0 int, y0 int, w int, h int, stride int, compression int, predictor int, offset long, byte_count long, data binary"
+BLOCKS = "path string, ifd_no int, block_no int, bx int, by int, x0 int, y0 int, w int, h int, stride int, compression int, predictor int, offset long, byte_count long, data binary, error string"
 PIXELS = "path string, x int, y int, v int"
 COLORMAP = "value int, label string, r int, g int, b int"
 CODES = "code_type string, code int, name string"

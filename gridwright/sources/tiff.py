@@ -22,8 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from gridwright import schema
 from gridwright.errors import InvalidHeader, RasterError, Unsupported
 
-#: Directories followed at most, against loops; bytes in a field type; rows of a batch; blocks of a partition.
-MOST_IFDS, BATCH_ROWS, PARTITION_BLOCKS = 100, 256, 64
+#: Rows of a batch; blocks of a partition; bytes of a file from which its blocks are dealt over tasks.
+BATCH_ROWS, PARTITION_BLOCKS, LARGE = 256, 64, 4_000_000
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 CODES = {1: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 SUFFIXES = (".tif", ".tiff")
@@ -86,6 +86,8 @@ class Ifd:
     big: bool
     order: str
     entries: list[Entry] = field(default_factory=list)
+    #: What could not be read of this directory, or behind it.
+    problem: str | None = None
 
     def get(self, tag: int) -> Entry | None:
         return next((e for e in reversed(self.entries) if e.tag == tag), None)
@@ -131,8 +133,10 @@ class Ifd:
         return next((v for k, location, _, v, _ in self.geokeys() if k == key and location == 0), None)
 
 
-def read_ifds(source: Bytes) -> list[Ifd]:
-    """The chain of directories. A broken one ends the chain; a broken file header raises."""
+def read_ifds(source: Bytes, strict: bool = False, most: int | None = None, upto: int | None = None) -> list[Ifd]:
+    """The chain of directories; offsets met before end it, so loops do no harm. A broken file header raises. A broken
+    directory, one left out because `most` of them were read, and values outside the file are told in `problem`, or
+    raise if strict. upto: the last directory that is wanted; nothing behind it is read."""
     if source.size < 8:
         raise InvalidHeader("too short for a header")
     order = {b"II": "<", b"MM": ">"}.get(source.at(0, 2))
@@ -150,22 +154,31 @@ def read_ifds(source: Bytes) -> list[Ifd]:
         raise InvalidHeader(f"version {version} is neither 42 nor 43")
     if not 8 <= at < source.size:
         raise InvalidHeader(f"the first directory, at {at}, is outside the file")
-    found, seen = [], set()
-    while at and at not in seen and len(found) < MOST_IFDS:
+    found, seen, why = [], set(), None
+    while at and at not in seen and (upto is None or len(found) <= upto):
+        if most is not None and len(found) == most:
+            why = f"directories after the first {most} are left out"
+            break
         seen.add(at)
         try:
-            ifd, at = _read_ifd(source, at, big, order, len(found))
-        except (RasterError, struct.error):
+            ifd, at = _read_ifd(source, at, big, order, len(found), strict)
+        except (RasterError, struct.error) as broken:
+            why = f"directory {len(found)} at {at}: {broken}"
             break
         found.append(ifd)
+    if why and (strict or not found):
+        raise RasterError(why)
+    if why:
+        found[-1].problem = "; ".join(x for x in (found[-1].problem, why) if x)
     return found
 
 
-def _read_ifd(source: Bytes, at: int, big: bool, order: str, number: int) -> tuple[Ifd, int]:
+def _read_ifd(source: Bytes, at: int, big: bool, order: str, number: int, strict: bool) -> tuple[Ifd, int]:
     head, size, room, wide = (8, 20, 8, "Q") if big else (2, 12, 4, "I")
     n = struct.unpack(order + ("Q" if big else "H"), source.at(at, head))[0]
     body = source.at(at + head, n * size)
     ifd = Ifd(number, at, big, order)
+    lost = []
     for k in range(n):
         part = body[k * size : (k + 1) * size]
         tag, kind, count = struct.unpack(order + "HH" + wide, part[: 4 + room])
@@ -177,8 +190,13 @@ def _read_ifd(source: Bytes, at: int, big: bool, order: str, number: int) -> tup
             try:
                 raw = source.at(offset, length)
             except RasterError:
-                continue  # a value outside the file: the entry is no use
+                if strict:
+                    raise
+                lost.append(tag)  # a value outside the file: the entry is no use
+                continue
         ifd.entries.append(Entry(tag, kind, count, offset, raw, order))
+    if lost:
+        ifd.problem = f"values outside the file: tags {lost}"
     after = at + head + n * size
     following = struct.unpack(order + wide, source.at(after, room))[0] if after + room <= source.size else 0
     return ifd, following
@@ -223,7 +241,7 @@ def ifd_row(path: str, ifd: Ifd) -> tuple:
     return (
         path, ifd.number, ifd.offset, ifd.big, ifd.order == "<", len(ifd.entries), ifd.one(256), ifd.one(257), ifd.ints(258, [8]), ifd.one(277, 1), ifd.one(259, 1), ifd.one(262, 1),
         ifd.one(317, 1), ifd.one(284, 1), ifd.one(339, 1), ifd.one(322), ifd.one(323), ifd.one(278), ifd.one(254, 0), ifd.doubles(33550), ifd.doubles(33922), ifd.geokey(3072),
-        ifd.geokey(2048), ifd.geokey(3074), ifd.text(42113), ifd.text(42112), None,
+        ifd.geokey(2048), ifd.geokey(3074), ifd.text(42113), ifd.text(42112), ifd.problem,
     )
 
 
@@ -263,6 +281,8 @@ def load(path: str) -> list[Ifd]:
 
 
 class Part(InputPartition):
+    """Whole files, or the lo-th of hi shares of a file's blocks."""
+
     def __init__(self, files: list[tuple[str, int]], lo: int = 0, hi: int | None = None):
         super().__init__(None)
         self.files, self.lo, self.hi = files, lo, hi
@@ -270,11 +290,12 @@ class Part(InputPartition):
 
 PRUNED = ("ifd_no", "block_no", "bx", "by", "x0", "y0")
 TESTS = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
+BY_NAME = {t.__name__: f for t, f in TESTS.items()}
 
 
 class RasterReader(DataSourceReader):
-    def __init__(self, kind: str, path: str, strict: bool):
-        self.kind, self.path, self.strict, self.tests = kind, path, strict, []
+    def __init__(self, kind: str, path: str, strict: bool, most: int | None = None):
+        self.kind, self.path, self.strict, self.most, self.tests = kind, path, strict, most, []
 
     def pushFilters(self, filters):
         for f in filters:
@@ -284,56 +305,81 @@ class RasterReader(DataSourceReader):
             yield f  # Spark checks again
 
     def partitions(self):
+        """Files by their sizes alone: the driver opens none. A large file's blocks go to several tasks, in runs of
+        equal length."""
         files = listed(self.path)
         if self.kind != "blocks":
             each = max(1, -(-len(files) // 1000))
             return [Part(files[i : i + each]) for i in range(0, len(files), each)]
         parts, few = [], []
         for path, size in files:
-            if size < 4_000_000:
+            if size < LARGE:
                 few.append((path, size))
                 if len(few) == 32:
                     parts.append(Part(few))
                     few = []
-            else:  # a large file's blocks are dealt over several tasks
-                step = max(PARTITION_BLOCKS, 1)
-                total = max([len(i.ints(324) or i.ints(273)) for i in load(path)] or [1])
-                parts += [Part([(path, size)], lo, lo + step) for lo in range(0, total, step)]
+            else:
+                shares = -(-size // LARGE)
+                parts += [Part([(path, size)], share, shares) for share in range(shares)]
         return parts + ([Part(few)] if few else [])
 
-    def _wanted(self, ifd_no: int, b: Block) -> bool:
-        by_name = {t.__name__: f for t, f in TESTS.items()}
-        return all(by_name[kind](ifd_no if name == "ifd_no" else getattr(b, name), value) for name, kind, value in self.tests)
+    def _passes(self, **known) -> bool:
+        return all(BY_NAME[kind](known[name], value) for name, kind, value in self.tests if name in known)
+
+    def _blocks(self, path: str, source: Bytes, ifd: Ifd, part: Part) -> Iterator[tuple]:
+        own = blocks_of(ifd)
+        if part.hi:
+            own = own[len(own) * part.lo // part.hi : len(own) * (part.lo + 1) // part.hi]
+        for b in own:
+            if not self._passes(ifd_no=ifd.number, block_no=b.block_no, bx=b.bx, by=b.by, x0=b.x0, y0=b.y0):
+                continue
+            data, error = None, None
+            try:
+                data = source.at(b.offset, b.byte_count)
+            except RasterError as why:
+                if self.strict:
+                    raise
+                error = f"{type(why).__name__}: {why}"
+            yield path, ifd.number, b.block_no, b.bx, b.by, b.x0, b.y0, b.w, b.h, b.stride, ifd.one(259, 1), ifd.one(317, 1), b.offset, b.byte_count, data, error
+
+    def _error(self, path: str, ifd_no: int | None, why: Exception) -> tuple:
+        """The row that tells of a file or directory that could not be read."""
+        columns = len(DDL[self.kind].split(", "))
+        if self.kind == "blocks":  # of the main directory, where none is known, so that a filter on it keeps the row
+            ifd_no = ifd_no or 0
+        return path, ifd_no, *[None] * (columns - 3), f"{type(why).__name__}: {why}"
 
     def _rows(self, part: Part) -> Iterator[tuple]:
+        told = self.kind in ("ifds", "blocks") and not part.lo  # of a file dealt in shares the first one tells
+        last = [value for name, kind, value in self.tests if name == "ifd_no" and kind in ("EqualTo", "LessThanOrEqual")]
         for path, _ in part.files:
             system, inner = opened(path)
+            number = None
             try:
                 with system.open_input_file(inner) as f:
                     source = Bytes(f, f.size())
-                    for ifd in read_ifds(source):
+                    for ifd in read_ifds(source, self.strict, self.most, min(last) if last else None):
+                        number = ifd.number
                         if self.kind == "ifds":
                             yield ifd_row(path, ifd)
                         elif self.kind == "tags":
                             yield from tag_rows(path, ifd)
                         elif self.kind == "geokeys":
                             yield from ((path, ifd.number, *k) for k in ifd.geokeys())
-                        else:
-                            check_layout(ifd)
-                            for b in blocks_of(ifd):
-                                if part.lo <= b.block_no < (part.hi or 2**62) and self._wanted(ifd.number, b):
-                                    try:
-                                        data = source.at(b.offset, b.byte_count)
-                                    except RasterError:
-                                        if self.strict:
-                                            raise
-                                        data = None
-                                    yield path, ifd.number, b.block_no, b.bx, b.by, b.x0, b.y0, b.w, b.h, b.stride, ifd.one(259, 1), ifd.one(317, 1), b.offset, b.byte_count, data
+                        elif self._passes(ifd_no=ifd.number):
+                            try:
+                                check_layout(ifd)
+                                yield from self._blocks(path, source, ifd, part)
+                            except RasterError as why:
+                                if self.strict:
+                                    raise
+                                if told:
+                                    yield self._error(path, number, why)
             except (RasterError, struct.error) as why:
                 if self.strict:
                     raise
-                if self.kind == "ifds":
-                    yield (path, *[None] * 25, f"{type(why).__name__}: {why}")
+                if told:
+                    yield self._error(path, number, why)
 
     def read(self, partition):
         kinds = pa.schema(_arrow(self.kind))
@@ -360,7 +406,9 @@ def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
 
 
 class RasterSource(DataSource):
-    """Options: what (ifds, tags, geokeys, blocks), path, mode (permissive or failfast)."""
+    """Options: what (ifds, tags, geokeys, blocks), path, mode (permissive or failfast), most_ifds (directories read of
+    each file at most; none by default). In mode permissive, ifds and blocks have a row with an error for each file or
+    directory that is not read."""
 
     @classmethod
     def name(cls):
@@ -373,4 +421,5 @@ class RasterSource(DataSource):
         return DDL[kind]
 
     def reader(self, schema):
-        return RasterReader(self.options.get("what", "ifds"), self.options["path"], self.options.get("mode", "permissive") == "failfast")
+        most = self.options.get("most_ifds")
+        return RasterReader(self.options.get("what", "ifds"), self.options["path"], self.options.get("mode", "permissive") == "failfast", int(most) if most else None)

@@ -13,15 +13,15 @@ from gridwright.sources.tiff import CODES, Entry
 KIND_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 
 
-def pack(kind: int, values) -> tuple[int, bytes]:
-    """Count and little-endian bytes of a tag's values: bytes or text, numbers, or pairs for rationals."""
+def pack(kind: int, values, order: str = "<") -> tuple[int, bytes]:
+    """Count and bytes of a tag's values: bytes or text, numbers, or pairs for rationals."""
     if isinstance(values, str):
         values = values.encode() + b"\0"
     if isinstance(values, bytes):
         return len(values) // KIND_SIZE[kind], values
     if kind in (5, 10):
-        return len(values), struct.pack(f"<{2 * len(values)}{'I' if kind == 5 else 'i'}", *(n for pair in values for n in pair))
-    return len(values), struct.pack(f"<{len(values)}{CODES[kind]}", *values)
+        return len(values), struct.pack(f"{order}{2 * len(values)}{'I' if kind == 5 else 'i'}", *(n for pair in values for n in pair))
+    return len(values), struct.pack(f"{order}{len(values)}{CODES[kind]}", *values)
 
 
 def repacked(e: Entry) -> tuple[int, object]:
@@ -30,12 +30,13 @@ def repacked(e: Entry) -> tuple[int, object]:
 
 
 class TiffWriter:
-    """Little-endian TIFF or BigTIFF: blocks as they come, each directory after its blocks, its entries sorted by tag.
-    Blocks, values and directories start at multiples of 4 (8 in BigTIFF)."""
+    """TIFF or BigTIFF: blocks as they come, each directory after its blocks, its entries sorted by tag. Blocks, values
+    and directories start at multiples of 4 (8 in BigTIFF). order: "<" little-endian, ">" big-endian."""
 
-    def __init__(self, out: BinaryIO, big: bool = False):
-        self.out, self.big, self.at = out, big, 0
-        self._write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0))
+    def __init__(self, out: BinaryIO, big: bool = False, order: str = "<"):
+        self.out, self.big, self.order, self.at = out, big, order, 0
+        mark = b"II" if order == "<" else b"MM"
+        self._write(struct.pack(order + "2sHHHQ", mark, 43, 8, 0, 0) if big else struct.pack(order + "2sHI", mark, 42, 0))
         self.link = 8 if big else 4
 
     def _write(self, data: bytes) -> None:
@@ -57,20 +58,20 @@ class TiffWriter:
         """tag -> (field type, values). Of a tag added twice the dictionary holds the last."""
         room, wide, rows = (8, "Q", []) if self.big else (4, "I", [])
         for tag, (kind, values) in sorted(tags.items()):
-            count, raw = pack(kind, values)
+            count, raw = pack(kind, values, self.order)
             if len(raw) > room:
                 self._align()
                 at = self.at
                 self._write(raw)
-                raw = struct.pack("<" + wide, at)
-            rows.append(struct.pack("<HH" + wide, tag, kind, count) + raw.ljust(room, b"\0"))
+                raw = struct.pack(self.order + wide, at)
+            rows.append(struct.pack(self.order + "HH" + wide, tag, kind, count) + raw.ljust(room, b"\0"))
         self._align()
         at = self.at
-        self._write(struct.pack("<Q" if self.big else "<H", len(rows)) + b"".join(rows))
+        self._write(struct.pack(self.order + ("Q" if self.big else "H"), len(rows)) + b"".join(rows))
         here = self.at
         self._write(bytes(room))
         self.out.seek(self.link)
-        self.out.write(struct.pack("<" + wide, at))
+        self.out.write(struct.pack(self.order + wide, at))
         self.out.seek(0, 2)
         self.link = here
 

@@ -40,7 +40,7 @@ def ifds(stream: DataFrame) -> DataFrame:
 
 
 def pixels(stream: DataFrame) -> DataFrame:
-    """path, x, y, v of each file's main image; files that aren't read give none."""
+    """path, x, y, v, error of each file's main image; a file that can't be read has one row, with its error."""
 
     def run(batches):
         import io
@@ -51,18 +51,19 @@ def pixels(stream: DataFrame) -> DataFrame:
         from gridwright.errors import RasterError
         from gridwright.sources import tiff
 
+        names = ["path", "x", "y", "v", "error"]
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                source = tiff.Bytes(io.BytesIO(content), len(content))
                 try:
+                    source = tiff.Bytes(io.BytesIO(content), len(content))
                     main = tiff.read_ifds(source)[:1]
                     for ifd in main:
                         tiff.check_layout(ifd)
                         for b in tiff.blocks_of(ifd):
                             v = codecs.decode_block(source.at(b.offset, b.byte_count), ifd.one(259, 1), ifd.one(317, 1), b.stride, b.w, b.h)
                             x, y = np.meshgrid(np.arange(b.x0, b.x0 + b.w, dtype=np.int32), np.arange(b.y0, b.y0 + b.h, dtype=np.int32))
-                            yield pa.RecordBatch.from_arrays([pa.array([path] * v.size, pa.string()), pa.array(x.ravel()), pa.array(y.ravel()), pa.array(v.ravel().astype(np.int32))], names=["path", "x", "y", "v"])
-                except RasterError:
-                    continue
+                            yield pa.RecordBatch.from_arrays([pa.array([path] * v.size, pa.string()), pa.array(x.ravel()), pa.array(y.ravel()), pa.array(v.ravel().astype(np.int32)), pa.nulls(v.size, pa.string())], names=names)
+                except RasterError as why:
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), *(pa.nulls(1, pa.int32()) for _ in "xyv"), pa.array([f"{type(why).__name__}: {why}"])], names=names)
 
-    return stream.mapInArrow(run, PIXELS)
+    return stream.mapInArrow(run, PIXELS + ", error string")

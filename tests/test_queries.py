@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from gridwright import queries
+from gridwright import file_queries, queries  # noqa: F401  (the former adds to the latter)
 
 HOME = os.environ.get("GRIDWRIGHT_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -138,6 +138,49 @@ def test_relations_and_modes(engine, spark, tmp_path):
         engine.image(str(tmp_path / "c.txt"))
 
 
+def test_long_chains_and_broken_ones(engine, spark, tmp_path):
+    out = io.BytesIO()
+    writer = writers.TiffWriter(out)
+    for k in range(103):
+        writer.directory({254: (4, [int(k > 0)]), 256: (4, [k + 1]), 257: (4, [1])})
+    (tmp_path / "long.tif").write_bytes(out.getvalue())
+    assert engine.read(str(tmp_path)).count() == 103
+    some = spark.read.format("raster").option("most_ifds", 5).load(str(tmp_path)).orderBy("ifd_no").collect()
+    assert len(some) == 5 and "first 5" in some[-1]["error"] and some[0]["error"] is None
+    data = bytearray(make(image(), overview=image(9, 9)))
+    second = tiff.read_ifds(tiff.Bytes(io.BytesIO(bytes(data)), len(data)))[1].offset
+    data[second : second + 2] = b"\xff\xff"
+    (tmp_path / "long.tif").write_bytes(data)
+    (row,) = engine.read(str(tmp_path)).collect()
+    assert row["width"] == 50 and "directory 1" in row["error"]
+    assert (grid(engine.pixels(str(tmp_path / "long.tif")), 50, 37) == image()).all()
+    with pytest.raises(Exception, match="directory 1"):
+        RasterEngine(spark, "failfast").read(str(tmp_path)).collect()
+
+
+def test_large_files_are_dealt(engine, tmp_path, monkeypatch):
+    monkeypatch.setattr(tiff, "LARGE", 500)
+    v = image(90, 80)
+    for tile in (None, 16):
+        (tmp_path / "l.tif").write_bytes(make(v, rows=7, tile=tile))
+        reader = tiff.RasterReader("blocks", str(tmp_path), False)
+        parts = reader.partitions()
+        assert len(parts) > 10
+        found = sorted(r[2] for p in parts for r in reader._rows(p))
+        assert found == list(range(30 if tile else 12))
+
+
+def test_palette_file(engine, tmp_path):
+    v = image(30, 20)
+    (tmp_path / "g.tif").write_bytes(make(v))
+    (tmp_path / "c.csv").write_text("0,0,0,255\n100,0,255,0\n255,255,0,0\n")
+    engine.save_palette(str(tmp_path / "g.tif"), str(tmp_path / "p.tif"), str(tmp_path / "c.csv"), 8)
+    assert (grid(engine.pixels(str(tmp_path / "p.tif")), 30, 20) == v).all()
+    entries, _ = colormaps.read_colormap(engine.spark, str(tmp_path / "p.tif"))
+    got = {r["value"]: (r["r"], r["g"], r["b"]) for r in entries.collect()}
+    assert got[0] == (0, 0, 255) and got[100] == (0, 255, 0) and got[255] == (255, 0, 0) and got[50][1:] == (127, 127)
+
+
 def test_damaged_block_is_zero_or_an_error(engine, spark, tmp_path):
     v = image(20, 20)
     data = bytearray(make(v, rows=10, compression=8))
@@ -365,4 +408,6 @@ def test_stream_of_files(spark, tmp_path):
         q = f(watch.files(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(120)
     assert spark.table("headers").where("error is null").first()["width"] == 10 and spark.table("headers").count() == 2
-    assert spark.table("cells").count() == 60
+    assert spark.table("cells").where("error is null").count() == 60
+    (broken,) = spark.table("cells").where("error is not null").collect()
+    assert broken["path"].endswith("b.tif") and broken["v"] is None
