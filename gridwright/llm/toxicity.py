@@ -1,19 +1,18 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A writer's word passes through a channel that swaps letters for look-alikes, repeats letters and puts separators
-between them. For each odd-looking token all letters that it may stand for form a lattice; a Viterbi search under a
-character trigram model, counted over all documents, finds the likeliest word. The restored words are then scored with
-a decision list of words and stems, learned from labelled rows by greedy cover: the next entry is the one that explains
-most toxic rows that are left, until an entry would explain too few.
-
-Ordinary tokens (letters only, no letter twice in a row) have one path through their lattice and are taken as they are.
-Other words are taken as they are and as restored. A worker remembers recent tokens; emptying that store changes the time taken and nothing else.
+A writer's word passes through a channel that swaps letters for look-alikes, repeats letters and puts separators or
+blanks between them. All letters that a token may stand for form a lattice; a Viterbi search under a character trigram
+model, counted over all documents, finds the likeliest reading, and the restored text has it in the token's place. Only
+restored text is learned from and scored: with a decision list of words and stems, learned from labelled rows by greedy
+cover: the next entry is the one that explains most toxic rows that are left, until an entry would explain too few.
+
+Tokens of ASCII letters without a letter twice in a row have one path through their lattice and are taken as they are.
+A worker remembers recent tokens; emptying that store changes the time taken and nothing else.
 """
 
 from __future__ import annotations
 
 import gc
-import heapq
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 
 from gridwright.llm._shared import bounded_sample, settle, text_of, tidy
 
-#: Labelled rows that the decision list is fitted on at most, and entries that are looked at at most.
-FIT_ROWS, FIT_ENTRIES = 20_000, 20_000
+#: Labelled rows that the decision list is fitted on at most.
+FIT_ROWS = 20_000
 #: An entry must explain so many further toxic rows, and so large a share of the rows with it must be toxic.
 LEAST_ROWS, LEAST_SHARE = 3, 0.8
 #: The share of a row's weight that each entry takes away.
@@ -44,14 +43,12 @@ LOOKALIKES = {
 SEPARATORS = ".-_*~'·"
 #: Costs (in nats) of a swapped character, a dropped repetition, a space put in, a character that stays no letter.
 SWAP, DROP, GAP, ODD = 0.7, 0.4, 3.0, 6.0
-#: Paths kept for each state of the search, and scored of each token.
-WAYS = 4
 
 CLASSES = 28  # 0: no letter, 1-26: a-z, 27: any other letter
 ODD_ONE = re.compile("[0-9@$!|+(€£¡*а-яіѕοαι]")
 REPEATED = re.compile(r"([^\W\d_])\1")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
-PIECED = re.compile(r"^[^\s](?:[.\-_*~'·]+[^\s.\-_*~'·]){2,}$")
+SEPARATED = re.compile(r"[.\-_*~'·]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 _TABLE = np.full(256, 0, np.uint8)
@@ -81,12 +78,14 @@ class ToxicityModel:
     entries: dict[str, float] = field(default_factory=dict)
     base: float = 0.0
 
-    def paths(self, raw: str) -> list[str]:
-        """The likeliest texts behind a token or a run of spelled letters, best first; separators are dropped."""
-        options: list[list[tuple[str, float]]] = []  # per character: what it stands for, and the cost
-        last = ""
+    def restore(self, raw: str) -> str:
+        """The likeliest text behind a token, or behind a run of single characters with blanks between them. Separators
+        and blanks are dropped, or end a word."""
+        options: list[tuple[bool, list[tuple[str, float]]]] = []  # per character: whether a word may begin here, what it stands for at what cost
+        last, apart = "", False
         for c in raw.lower():
             if c in SEPARATORS and c not in LOOKALIKES or c.isspace():
+                apart = bool(options)
                 continue
             if c.isalpha() and c not in LOOKALIKES:
                 found = [(c, 0.0)]
@@ -96,36 +95,31 @@ class ToxicityModel:
                     found.append(("", SWAP))
             if c == last:
                 found.append(("", DROP))
-            options.append(found)
-            last = c
-        spaced = any(c.isspace() for c in raw)
-        # a way: its cost, its number among its like, and the chain of its pieces from the last to the first
-        beam: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, 0, None)]}
-        for found in options:
-            after = defaultdict(list)
-            for (a, b), ways in beam.items():
-                starts = [(a, b, 0.0, "")]
-                if spaced and b:
-                    starts.append((b, 0, GAP - self.log_p[a, b, 0], " "))
+            options.append((apart, found))
+            last, apart = c, False
+        # for each pair of the last two classes the cheapest way: its cost, its text, and the chain of its pieces from the last to the first
+        beam: dict[tuple[int, int], tuple] = {(0, 0): (0.0, "", None)}
+        for begins, found in options:
+            after: dict[tuple[int, int], tuple] = {}
+            for (a, b), (cost, _, chain) in beam.items():
+                starts = [(a, b, cost, "")]
+                if begins and b:
+                    starts.append((b, 0, cost + GAP - self.log_p[a, b, 0], " "))
                 for piece, price in found:
-                    for x, y, more, gap in starts if piece else starts[:1]:
-                        k = class_of(piece) if piece else y
-                        step = price + more - (self.log_p[x, y, k] if piece else 0.0)
-                        into = after[(y, k) if piece else (x, y)]
-                        into += [(way[0] + step, len(into) + i, (gap + piece, way[2]) if piece else way[2]) for i, way in enumerate(ways)]
-            beam = {state: heapq.nsmallest(WAYS, ways) if len(ways) > 1 else ways for state, ways in after.items()}
-        texts = []
-        ended = [(way[0] - self.log_p[a, b, 0], i, way[2]) for (a, b), ways in beam.items() for i, way in enumerate(ways)]
-        for cost, _, chain in heapq.nsmallest(2 * WAYS, ended, key=lambda x: x[:2]):
-            pieces = []
-            while chain:
-                pieces.append(chain[0])
-                chain = chain[1]
-            texts.append((cost, "".join(reversed(pieces))))
-        return list(dict.fromkeys(text for _, text in sorted(texts)))[:WAYS]
-
-    def restore(self, raw: str) -> str:
-        return self.paths(raw)[0]
+                    k = class_of(piece)
+                    for x, y, paid, gap in starts if piece else starts[:1]:
+                        into = (y, k) if piece else (x, y)
+                        total = paid + price - (self.log_p[x, y, k] if piece else 0.0)
+                        old = after.get(into)
+                        if old is None or (total, piece) < old[:2]:
+                            after[into] = (total, piece, (gap + piece, chain) if piece else chain)
+            beam = after
+        _, _, chain = min(((cost - self.log_p[a, b, 0], (a, b), chain) for (a, b), (cost, _, chain) in beam.items()), key=lambda way: way[:2])
+        pieces = []
+        while chain:
+            pieces.append(chain[0])
+            chain = chain[1]
+        return "".join(reversed(pieces))
 
     def words(self, token: str) -> list[str]:
         """The words of a token without white space, restored where it looks odd."""
@@ -139,27 +133,26 @@ class ToxicityModel:
             bare = bare[lo - 1 if 0 < lo < hi and bare[lo - 1] in "@$!|(" else lo : hi]
         if bare.isalpha() and not REPEATED.search(bare) and bare.isascii():
             return [bare]
-        found = LETTERS.findall(bare)
-        if not found:
-            return found
-        if ODD_ONE.search(bare) or REPEATED.search(bare) or PIECED.match(bare):
-            for way in self.paths(bare)[::-1]:  # the likeliest last
-                found += LETTERS.findall(way)
-        return found
+        if not LETTERS.search(bare) and not ODD_ONE.search(bare):
+            return []
+        if ODD_ONE.search(bare) or REPEATED.search(bare) or SEPARATED.search(bare):
+            bare = self.restore(bare)
+        return LETTERS.findall(bare)
 
-    def spelled(self, text: str) -> list[str]:
-        """The words of all runs of single characters with a letter among them."""
-        return LETTERS.findall(" ".join(way for run in set(SPELLED.findall(text)) if LETTERS.search(run) for way in self.paths(run)))
+    def apart(self, text: str) -> tuple[str, list[str]]:
+        """The text without its runs of single characters, and the words of these."""
+        runs = [run for run in set(SPELLED.findall(text)) if LETTERS.search(run)]
+        return (SPELLED.sub(" ", text) if runs else text), [w for run in runs for w in LETTERS.findall(self.restore(run))]
 
     def all_words(self, text: str) -> set[str]:
-        found = {w for t in set(text.split()) for w in self.words(t)}
-        found.update(self.spelled(text))
-        return found
+        """The words of the restored text."""
+        rest, found = self.apart(text)
+        return {w for t in set(rest.split()) for w in self.words(t)}.union(found)
 
     def restored_text(self, text: str) -> str:
         """The text in lower case with odd-looking tokens and spelled words restored."""
-        text = SPELLED.sub(lambda m: self.restore(m[0]), text)
-        return re.sub(r"\S+", lambda m: " ".join(self.words(m[0])[-1:]) or m[0], text)
+        text = SPELLED.sub(lambda m: self.restore(m[0]) if LETTERS.search(m[0]) else m[0], text)
+        return re.sub(r"\S+", lambda m: " ".join(self.words(m[0])) or m[0], text)
 
 
 def features(word: str) -> list[str]:
@@ -182,8 +175,9 @@ class Scorer(dict):
         return found
 
     def score(self, text: str) -> float:
-        found = set().union(*set(map(self.__getitem__, text.split())))
-        found.update(self.hits(self.model.spelled(text)))
+        rest, spelled = self.model.apart(text)
+        found = set().union(*set(map(self.__getitem__, rest.split())))
+        found.update(self.hits(spelled))
         clean = 1.0 - self.model.base
         for f in sorted(found):
             clean *= 1.0 - self.model.entries[f]
@@ -260,36 +254,46 @@ def cover(rows: list[tuple[int, list[int], list[int]]], names: list[str]) -> tup
 def fit(documents: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
     """documents: doc_id, text (all, for the character model). labelled: doc_id, toxic of the rows to learn from; of
     more than `rows` of them those with the smallest hash of doc_id are taken. Several labels of a document: the
-    largest; null labels don't count. Without labels the list is empty and every score is 0."""
+    largest; several texts: the largest; null labels don't count. Without labels the list is empty and every score is 0.
+    What reaches the driver is bounded by `rows`: the words that three toxic ones of them share."""
     model = ToxicityModel(character_model(documents))
     known = labelled.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = bounded_sample(known, rows, "doc_id")
-    texts = settle(documents.select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample")
+    texts = documents.select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+
+    def restored(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            words = pa.array([sorted(model.all_words(t)) for t in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), words, pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))], names=["toxic", "words", "sketch"])
+        tidy()
+
+    read = settle(texts.repartition(64).select("toxic", "text").mapInArrow(restored, "toxic int, words array<string>, sketch array<long>"), "toxicity-sample")
 
     def count(batches):
         seen = [Counter(), Counter()]
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic > 0].update({f for w in model.all_words(text) for f in features(w)})
-        names = list(seen[1])
-        more = [f for f in seen[0] if f not in seen[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(names + more, pa.string()), pa.array([seen[1][f] for f in names] + [0] * len(more), pa.int64()), pa.array([seen[0][f] for f in names] + [seen[0][f] for f in more], pa.int64())], names=["f", "toxic", "clean"])
+            for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[toxic > 0].update({f for w in words for f in features(w)})
+        names = list(seen[1])  # what stands in no toxic row can be no entry
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([0] * len(names), pa.int64())], names=["f", "toxic", "clean"])
+        names = list(seen[0])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], names=["f", "toxic", "clean"])
         seen.clear()
         tidy()
 
-    counts = texts.mapInArrow(count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = read.select("toxic", "words").mapInArrow(count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     good = counts.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
-    names = [r["f"] for r in good.orderBy(F.desc("toxic"), "clean", "f").limit(FIT_ENTRIES).select("f").collect()]
+    names = [r["f"] for r in good.orderBy("f").select("f").collect()]
     number = {f: i for i, f in enumerate(names)}
 
     def match(batches):
         for batch in batches:
-            found = [sorted({number[f] for w in model.all_words(t) for f in features(w) if f in number}) for t in batch.column(0).to_pylist()]
-            own = pa.array([sketch(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32())), own], names=["toxic", "found", "sketch"])
+            found = [sorted({number[f] for w in words for f in features(w) if f in number}) for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], names=["toxic", "found", "sketch"])
         tidy()
 
-    matched = texts.mapInArrow(match, "toxic int, found array<int>, sketch array<long>").collect()
+    matched = read.mapInArrow(match, "toxic int, found array<int>, sketch array<long>").collect()
     model.entries, model.base = cover([(int(r["toxic"] > 0), r["found"], r["sketch"]) for r in matched], names)
     return model
 
@@ -316,7 +320,10 @@ def score_texts(df: DataFrame, model: ToxicityModel, text: str = "text", score:
 
 
 def restore_texts(df: DataFrame, model: ToxicityModel, text: str = "text", restored: str = "restored") -> DataFrame:
-    """df with the column restored: the text as the channel's likeliest source, in lower case. Null stays null."""
+    """df with the column restored: the text as the channel's likeliest source, in lower case. Null stays null, and an
+    empty df empty. A column of that name raises ValueError."""
+    if restored in df.columns:
+        raise ValueError(f"column {restored} is there already; choose another output name")
     schema = df.select("*", F.lit("").alias(restored)).schema
     schema[restored].nullable = True
     place = df.columns.index(text)
