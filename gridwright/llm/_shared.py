@@ -18,9 +18,12 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a local session, as in tests, gets a temporary one,
+    and a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gridwright-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -34,6 +37,33 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot with more rows than this, and than one in so many of all; rows of a hot key go to so many tasks.
+HOT_ROWS, HOT_SHARE, HOT_TASKS = 1000, 1000, 64
+
+
+def even_join(left: DataFrame, right: DataFrame, key: str, spread: str, n: str) -> DataFrame:
+    """left joined with the one row of right that has its key. n: right's column with the number of left's rows of the key;
+    spread: a column of left in which rows of one key differ. Rows of a hot key are dealt over HOT_TASKS by it, and right
+    has a hot row as often. There are no more than HOT_SHARE hot keys, so these are broadcast."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_SHARE)
+    keys = F.broadcast(right.where(hot).select(key, F.lit(True).alias("_hot")))
+    salted = left.join(keys, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread, F.lit(7)), F.lit(HOT_TASKS))).otherwise(0).cast("int")).drop("_hot")
+    copied = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(HOT_TASKS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copied.drop(n), [key, "_salt"]).drop("_salt")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def key_of(column: str):
     """A document number that can be compared and joined: null becomes NULL_ID."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))

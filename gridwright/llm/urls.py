@@ -1,9 +1,10 @@
 """URL filters: rules on host and path, and a character language-model ratio for what no rule fits.
 
 Two variable-order Markov models of characters, with Witten-Bell smoothing, are counted over all URLs that a rule
-accepts or rejects. A URL's score is the mean, over its characters, of the accepted model's log-probability less the
-rejected one's; it is compared with a threshold calibrated on labelled URLs that were left out of the counts. Counting,
-smoothing and scoring are grouped sums and joins over distinct n-grams; nothing grows on the driver.
+accepts or rejects. A URL's score is the mean, over all its characters from the scheme to the fragment, of the accepted
+model's log-probability less the rejected one's; it is compared with a threshold calibrated on labelled URLs that were
+left out of the counts. Counting, smoothing and scoring are grouped sums and joins over distinct n-grams; nothing grows
+on the driver. N-grams that nearly all URLs hold are spread over SALTS keys when URLs and ratios are joined.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import settle, text_of
+from gridwright.llm._shared import even_join, settle, text_of
 
 ORDER, ALPHABET = 3, 256
 #: Of labelled URLs one in so many is left out of the counts, for calibration; bins of the score's histogram.
 CALIBRATION, BIN = 5, 0.02
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -79,32 +81,38 @@ def _smoothed(wanted: DataFrame, counts: DataFrame, n: str) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score of every row.
 
-    Null URLs and those without "://" have empty host and path; they are scored as the empty text. Where labelled URLs
-    of one kind are missing, the method allows. Repeated rows come out repeated; extra columns take no part.
+    Null URLs and those without "://" have empty host and path. Null counts as the empty text; every URL is scored whole,
+    however long it is. Where labelled URLs of one kind are missing, the method allows. Repeated rows come out repeated;
+    extra columns take no part; an empty table gives no rows.
     """
+    spark = pages.sparkSession
     address = text_of(url)
-    base = pages.select(F.col(id).cast("long").alias("page_id"), host_of(address).alias("host"), path_of(address).alias("path"))
+    base = pages.select(F.col(id).cast("long").alias("page_id"), address.alias("t"))
+    host, path = host_of(F.col("t")), path_of(F.col("t"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    urls = base.groupBy("host", "path").agg(F.count("*").alias("w")).withColumn("known", verdict).withColumn("t", F.concat("host", "path"))
-    kept = F.pmod(F.xxhash64("t"), F.lit(CALIBRATION)) > 0
-    counted = urls.where(F.col("known").isNotNull() & kept)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, as a URL becomes a row for each character
+    urls = base.groupBy("t").agg(F.count("*").alias("w")).select("t", "w", host.alias("host"), path.alias("path")).withColumn("known", verdict)
+    urls = settle(urls.select("t", "w", "known").repartition(tasks, "t"), "urls")
+    fold = F.pmod(F.xxhash64("t"), F.lit(CALIBRATION))
+    counted = urls.where(F.col("known").isNotNull() & (fold > 0))
     counts = settle(_grams(counted).groupBy("g").agg(F.sum(F.when(F.col("known") == "allow", F.col("w")).otherwise(0)).alias("good"), F.sum(F.when(F.col("known") == "block", F.col("w")).otherwise(0)).alias("bad")), "url-grams")
-    rows = _grams(urls.select("host", "path", "known", "w", "t")).groupBy("host", "path", "known", "w", "g").agg(F.count("*").alias("times"))
-    wanted = rows.select("g").distinct()
-    ratio = _smoothed(wanted, counts, "good").join(_smoothed(wanted, counts, "bad").withColumnRenamed("p", "q"), "g").select("g", F.log(F.col("p") / F.col("q")).alias("r"))
-    ratio = settle(ratio, "url-ratios")
-    scored = rows.join(ratio, "g").groupBy("host", "path", "known", "w").agg((F.sum(F.round("r", 9).cast("decimal(20,9)") * F.col("times")).cast("double") / F.sum("times")).alias("score"))
+    wanted = settle(_grams(urls.select("t")).select("g").distinct(), "url-wanted")
+    ratio = _smoothed(wanted, counts, "good").join(_smoothed(wanted, counts, "bad").withColumnRenamed("p", "q"), "g").select("g", F.round(F.log(F.col("p") / F.col("q")), 9).cast("decimal(20,9)").alias("r"))
+    ratio = settle(ratio.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "url-ratios")
+    rows = _grams(urls).withColumn("salt", F.pmod(F.xxhash64("t", F.lit(1)), F.lit(SALTS)).cast("int"))
+    scored = rows.join(ratio, ["g", "salt"]).groupBy("t", "known", "w").agg((F.sum("r").cast("double") / F.count("*")).alias("score"))
     scored = settle(scored, "url-scores")
-    held = scored.where(F.col("known").isNotNull() & (F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(CALIBRATION)) == 0))
+    held = scored.where(F.col("known").isNotNull() & (fold == 0))
     bins = held.groupBy(F.floor(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), "score")) / BIN).alias("bin"), "known").agg(F.sum("w").alias("n")).collect()
     limit = threshold([(r["bin"], r["known"], r["n"]) for r in bins])
     method = F.when(F.col("score") >= limit, "allow").otherwise("block")
-    judged = base.join(scored.select("host", "path", "score"), ["host", "path"])
+    judged = even_join(base, scored.select("t", "w", "score"), "t", "page_id", "w").select("page_id", "score", host.alias("host"), path.alias("path"))
     return judged.select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score")
 
 
 def threshold(bins: list[tuple[int, str, int]]) -> float:
-    """The lower edge of the bin from which allowing errs least, each kind weighing the same; the middle one of ties."""
+    """The lower edge of the bin from which allowing errs least, each kind weighing the same; of ties the one nearest 0, where
+    both models find a URL equally likely."""
     total = {k: sum(n for _, known, n in bins if known == k) for k in ("allow", "block")}
     if not total["allow"] or not total["block"]:
         return float("-inf")
@@ -114,4 +122,4 @@ def threshold(bins: list[tuple[int, str, int]]) -> float:
         found.append((wrong, edge))
     least = min(w for w, _ in found)
     ties = [e for w, e in found if w <= least + 1e-12]
-    return ties[len(ties) // 2] * BIN
+    return min(ties, key=lambda e: (abs(e), e)) * BIN
