@@ -17,7 +17,7 @@ def plain(url):
 def corpus():
     found = [None, "", "no scheme", "http://", "http://NET/", "http://net", "https://a.net?x=/en/", "https://A.Example.NET/en/1#a", "http://notexample.net/en/", "ftp://x.org/fr/ü?q", "x://y://z/", "http://a.org/fr", "http://a.org//fr/", "http://İ.NET/"]
     for i in range(200):
-        found += [f"https://shop{i % 7}.example.net/en/good{i}", f"http://spam{i % 5}.example.com/de/bad{i}.html", f"http://a{i}.org/fr/fine{i}", f"http://b{i}.example.com/en/good{i}", f"http://spam{i}.example.com/xx/bad{i}.html"]
+        found += [f"https://shop{i % 7}.example.net/en/good{i}", f"http://spam{i % 5}.example.com/de/bad{i}.html", f"http://a{i}.org/fr/fine{i}", f"https://b{i}.example.com/en/good{i}", f"http://spam{i}.example.com/xx/bad{i}.html"]
     return list(enumerate(found))
 
 
