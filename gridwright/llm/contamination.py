@@ -30,8 +30,8 @@ from gridwright.llm._shared import text_of, tidy
 LEAST_WORDS, PIECE, BLOCK_WORDS = 8, 40, 2_000_000
 MATCH, OTHER = 2, -1
 LEAST_SCORE = 0.5
-#: Passages aligned at once.
-BATCH = 256
+#: Passages aligned at once, and places in all of them together, at most (one longer passage alone).
+BATCH, CELLS = 256, 1_000_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -221,8 +221,15 @@ def scored(todo: list[tuple[np.ndarray, np.ndarray]]):
     """smith_waterman over pairs of any number and length: (score, first, end) of each, in the order of todo."""
     found: list = [None] * len(todo)
     order = sorted(range(len(todo)), key=lambda k: (len(todo[k][0]), len(todo[k][1])))
-    for at in range(0, len(order), BATCH):
-        part = order[at : at + BATCH]
+    at = 0
+    while at < len(order):
+        end, widest = at, 0
+        while end < len(order) and end - at < BATCH:
+            widest = max(widest, len(todo[order[end]][1]))
+            if end > at and (end - at + 1) * widest > CELLS:
+                break
+            end += 1
+        part, at = order[at:end], end
         for k, *got in zip(part, *smith_waterman([todo[k][0] for k in part], [todo[k][1] for k in part]), strict=True):
             found[k] = tuple(map(int, got))
     return found
