@@ -132,7 +132,8 @@ def count_grams(docs: DataFrame, block: Items) -> np.ndarray:
 
 
 def passages(docs: DataFrame, block: Items, counts: np.ndarray) -> DataFrame:
-    """docs: doc_id, text. doc_id, item_id, start (word), words (array<string>): passages that may reach the least score."""
+    """docs: doc_id, text. doc_id, item_id, start (word), ids (numbers of words, 0 for those of no item): passages that may
+    reach the least score."""
     seeds = block.seeds(counts)
     bags = [dict(zip(*np.unique(x, return_counts=True), strict=True)) for x in block.ids]
 
@@ -171,20 +172,19 @@ def passages(docs: DataFrame, block: Items, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, own = block.ids_of(text), None
+                ids = block.ids_of(text)
                 for item, stretches in windows(ids).items():
                     length, bag = len(block.ids[item]), bags[item]
                     for lo, hi in stretches:
                         there, n = np.unique(ids[lo:hi], return_counts=True)
                         shared = sum(min(c, bag.get(w, 0)) for w, c in zip(there.tolist(), n.tolist(), strict=True))
                         if shared >= LEAST_SCORE * min(length, PIECE):
-                            own = own or words_of(text)
-                            out.append((doc, block.names[item], lo, [w.decode("utf-8", "replace") for w in own[lo:hi]]))
+                            out.append((doc, block.names[item], lo, ids[lo:hi]))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.string()))], names=["doc_id", "item_id", "start", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64()))], names=["doc_id", "item_id", "start", "ids"])
         tidy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start long, words array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start long, ids array<long>")
 
 
 def smith_waterman(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,17 +235,16 @@ def scored(todo: list[tuple[np.ndarray, np.ndarray]]):
     return found
 
 
-def align(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs: doc_id, item_id, start, words, item (array<string>). Alignments that are found with this least score; what
-    stands before and after one is aligned again."""
+def align(cut: DataFrame, block: Items, least: float) -> DataFrame:
+    """cut: passages. Alignments with the block's items that are found with this least score; what stands before and after
+    one is aligned again. The items are with the workers already, so there is no join and no exchange."""
+    place = {name: k for k, name in enumerate(block.names)}
 
     def run(batches):
         for batch in batches:
             todo, out = [], []
             for r in batch.to_pylist():
-                number: dict[str, int] = {}
-                item = np.array([number.setdefault(w, len(number)) for w in r["item"]], np.int32)
-                todo.append((r, item, r["start"], np.array([number.get(w, -3) for w in r["words"]], np.int32)))
+                todo.append((r, block.ids[place[r["item_id"]]].astype(np.int32), r["start"], np.array(r["ids"], np.int32)))
             while todo:
                 enough = [(least if len(x) >= LEAST_WORDS else 1.0) * MATCH * len(x) for _, x, _, _ in todo]
                 hits = scored([(x, t) for _, x, _, t in todo])
@@ -258,14 +257,14 @@ def align(pairs: DataFrame, least: float) -> DataFrame:
                     if score >= enough[k] or k in copied:
                         out.append((r["doc_id"], r["item_id"], score / (MATCH * len(item)), start + first, start + end))
                         for at, rest in ((start, text[:first]), (start + end, text[end:])):
-                            if np.count_nonzero(rest >= 0) * MATCH >= min(enough[k], least * MATCH * PIECE):
+                            if np.count_nonzero(rest) * MATCH >= min(enough[k], least * MATCH * PIECE):
                                 more.append((r, item, at, rest))
                 todo = more
             columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    return pairs.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
+    return cut.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
@@ -289,7 +288,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 
     Null texts count as empty; a null doc_id passes through; items without a number don't count, and of several
     texts of one item_id the largest does. Repeated documents come out repeated. Extra columns take no part.
-    An empty table on either side gives no rows.
+    An empty table on either side gives no rows. Texts and items are taken whole, however long they are.
     """
     if not LEAST_SCORE <= least <= 1:
         raise ValueError(f"least must be from {LEAST_SCORE} to 1")
@@ -297,7 +296,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     found = own.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     for part in blocks(benchmark, block_words):
         block = Items(part)
-        cut = passages(own, block, count_grams(own, block))
-        items = own.sparkSession.createDataFrame([(i, [w.decode("utf-8", "replace") for w in x]) for i, x in block.words.items()], "item_id long, item array<string>")
-        found = found.union(align(cut.join(items, "item_id").select("doc_id", "item_id", "start", "words", "item"), least))
+        found = found.union(align(passages(own, block, count_grams(own, block)), block, least))
     return found

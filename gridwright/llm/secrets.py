@@ -15,8 +15,9 @@ import random
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridwright.llm._shared import text_of
+from gridwright.llm._shared import fresh, text_of
 
 #: Characters kept of what stands before a candidate.
 NEAR = 80
@@ -210,23 +211,32 @@ def _split(text: Column) -> tuple[Column, Column]:
 def scan(df: DataFrame, forest: list, text: str = "text", least: float = 0.5) -> DataFrame:
     """df's other columns and start (long, from 0), value, before, score of every finding with this score or more.
 
-    Null and empty texts have none. Columns of df named like these raise ValueError.
+    Null and empty texts have none; texts are read whole, however long they are. Repeated rows give their findings each;
+    an empty df gives none. Columns of df named like these four raise ValueError, all others are kept as they are.
     """
-    clash = {"start", "value", "before", "score", "_row"} & set(df.columns)
+    clash = {"start", "value", "before", "score"} & {c.lower() for c in df.columns}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already")
     others = [c for c in df.columns if c != text]
+    v, g, row, i, c = fresh(df, "_v", "_g", "_row", "_i", "_c")
     values, gaps = _split(text_of(text))
-    pieces = df.select(*others, F.monotonically_increasing_id().alias("_row"), values.alias("_v"), gaps.alias("_g")).where(F.size("_v") > 0)
-    found = pieces.select(*others, F.posexplode(F.transform("_v", lambda v, i: F.struct(v.alias("value"), F.length(F.col("_g")[i]).alias("gap"), F.right(F.col("_g")[i], F.lit(NEAR)).alias("before")))).alias("_i", "_c"), "_row")
-    start = F.expr("sum(_c.gap + length(_c.value)) over (partition by _row order by _i rows unbounded preceding) - length(_c.value)")
-    rows = found.select(*others, start.cast("long").alias("start"), F.col("_c.value").alias("value"), F.col("_c.before").alias("before"))
+    pieces = df.select(*others, F.monotonically_increasing_id().alias(row), values.alias(v), gaps.alias(g)).where(F.size(v) > 0)
+    of = F.transform(v, lambda x, k: F.struct(x.alias("value"), F.length(F.col(g)[k]).alias("gap"), F.right(F.col(g)[k], F.lit(NEAR)).alias("before")))
+    found = pieces.select(*others, F.posexplode(of).alias(i, c), row)
+    so_far = Window.partitionBy(row).orderBy(i).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.sum(F.col(c)["gap"] + F.length(F.col(c)["value"])).over(so_far) - F.length(F.col(c)["value"])
+    rows = found.select(*others, start.cast("long").alias("start"), F.col(c)["value"].alias("value"), F.col(c)["before"].alias("before"))
     return rows.withColumn("score", forest_score(forest, F.col("value"), F.col("before"))).where(F.col("score") >= least)
 
 
 def redact(df: DataFrame, forest: list, text: str = "text", least: float = 0.5, mask: str = MASK) -> DataFrame:
-    """df with mask in the place of every finding with this score or more. Null texts stay null; no row is lost."""
+    """df with mask in the place of every finding with this score or more.
+
+    Null texts stay null and empty ones empty; texts are read whole, however long they are. No row is lost or added, and
+    all other columns stay as they are; an empty df stays empty.
+    """
+    v, g = fresh(df, "_v", "_g")
     values, gaps = _split(F.col(text))
-    kept = F.zip_with("_v", F.slice("_g", 1, F.size("_v")), lambda v, g: F.concat(g, F.when(forest_score(forest, v, F.right(g, F.lit(NEAR))) >= least, F.lit(mask)).otherwise(v)))
-    done = F.when(F.size("_v") > 0, F.concat(F.array_join(kept, ""), F.element_at("_g", -1))).otherwise(F.col(text))
-    return df.withColumn("_v", values).withColumn("_g", gaps).withColumn(text, done).drop("_v", "_g")
+    kept = F.zip_with(v, F.slice(g, 1, F.size(v)), lambda x, gap: F.concat(gap, F.when(forest_score(forest, x, F.right(gap, F.lit(NEAR))) >= least, F.lit(mask)).otherwise(x)))
+    done = F.when(F.size(v) > 0, F.concat(F.array_join(kept, ""), F.element_at(g, -1))).otherwise(F.col(text))
+    return df.withColumn(v, values).withColumn(g, gaps).withColumn(text, done).select(df.columns)
