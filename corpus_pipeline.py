@@ -7,18 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm import bpe, contamination, secrets, simhash, toxicity
-from gridwright.llm._shared import key_of, settle
+from gridwright.llm._shared import fresh, key_of, settle
 
 #: Near-duplicates: shingles of five words, and the least similarity that their fingerprints must show.
 WIDTH, SIMILARITY = 5, 0.8
 
 
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go. The model learns as op9 does, from the whole table's labels."""
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxicity.fit_outside_fold(source, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_texts(docs, model, score="_score").where("_score < 0.5").drop("_score")
+    (score,) = fresh(docs, "_score")
+    return toxicity.score_texts(docs, model, score=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     found = contamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.select(key_of("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key_of("doc_id")).join(hit, "_key", "left_anti").select(docs.columns)
+    (key,) = fresh(docs, "_key")
+    hit = found.select(key_of("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, key_of("doc_id")).join(hit, key, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
