@@ -30,11 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, and survives lost executors."""
+def settled(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """settle, and the path of the table, for who deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, and survives lost executors."""
+    return settled(df, label)[0]
 
 
 #: A key is hot with more rows than this, and than one in so many of all; rows of a hot key go to so many tasks.

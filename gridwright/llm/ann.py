@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridwright.llm._shared import bounded_sample
+from gridwright.llm._shared import bounded_sample, settle
 
 SAMPLE, ROUNDS, ROTATIONS = 4096, 12, 4
 #: Rows of a shard and queries of a block, about.
@@ -132,7 +132,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id", vec
     v = F.col("v")
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull())
     rows = rows.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0))
-    rows = rows.groupBy("id").agg(F.max("v").alias("v"))
+    rows = settle(rows.groupBy("id").agg(F.max("v").alias("v")), "ann-vectors")  # read several times
     spark = df.sparkSession
     drawn = bounded_sample(rows, SAMPLE, "id").select("v").toArrow().column("v").to_pylist()
     if not drawn:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import settle
+from gridwright.llm._shared import discard, settled
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -29,13 +29,16 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """links: columns a, b (long). Returns node, component: the smallest node that can be reached.
 
-    Only nodes with a link to another come out. Every round writes a table, so a lost executor costs one round;
-    the rounds grow with the logarithm of the longest path. Nothing but two sums a round reaches the driver.
+    Only nodes with a link to another come out. Every round writes a table, so a lost executor costs one round, and
+    deletes the one before; the rounds grow with the logarithm of the longest path. Nothing but two sums a round reaches
+    the driver.
     """
-    now = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    now, path = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
     seen = None
     while True:
-        now = settle(_small_star(_large_star(now)), label)
+        after, made = settled(_small_star(_large_star(now)), label)
+        discard(links.sparkSession, path)
+        now, path = after, made
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

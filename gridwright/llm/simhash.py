@@ -20,16 +20,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm._shared import bounded_sample, key_of, settle, text_of, tidy
+from gridwright.llm._shared import bounded_sample, even_join, fresh, key_of, settle, text_of, tidy
 from gridwright.llm.components import components
 
 SEED = 42
-#: Fingerprints drawn to choose vantage points; points aimed at for each shard; levels at most.
-SAMPLE, SHARD, DEPTH = 65_536, 32_768, 12
+#: Fingerprints drawn to choose vantage points at least and at most, and for each shard; points aimed at for each shard.
+SAMPLE, MOST_SAMPLE, DRAWN, SHARD = 65_536, 1_048_576, 64, 32_768
 #: Points compared in full; vantage points tried for each split.
 BLOCK, TRIED = 1024, 6
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of these hashes: the bits that more than half of them have."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        part = hashes[at : at + 65_536].astype("<u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, width: int) -> int:
     """The fingerprint of one text, as an unsigned number; 0 for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -43,11 +52,7 @@ def fingerprint(text: str, width: int) -> int:
     ends = np.cumsum(lengths) - 1
     starts = (ends - lengths + 1)[: len(words) - width + 1].tolist()
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], "<u8")
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = hashes[at : at + 65_536]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def simhash(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -146,11 +151,19 @@ def link(points: np.ndarray, radius: int) -> np.ndarray:
                 if max(len(inner), len(outer)) < len(rows):
                     stack += [inner, outer]
                     continue
-        own = points[rows]
         for at in range(0, len(rows), 256):
-            a, b = np.nonzero(distance(own[at:], own[at : at + 256, None]) <= radius)
-            later = b > a
-            forest.join(rows[at + a[later]], rows[at + b[later]])
+            # those of the largest tree so far need no comparison with each other, so a dense group takes few of them
+            forest.flatten()
+            top = forest.up[rows]
+            names, sizes = np.unique(top, return_counts=True)
+            if len(names) == 1:
+                break
+            large = top == names[sizes.argmax()]
+            mine = np.arange(at, min(at + 256, len(rows)))
+            later = np.arange(at, len(rows))
+            for some, others in ((mine[large[mine]], later[~large[later]]), (mine[~large[mine]], later)):
+                a, b = np.nonzero(distance(points[rows[others]], points[rows[some], None]) <= radius)
+                forest.join(rows[some[a]], rows[others[b]])
     forest.flatten()
     return forest.up
 
@@ -159,8 +172,9 @@ def hamming_links(points: DataFrame, radius: int) -> DataFrame:
     """points: distinct fp (long). Returns links a, b between them: a spanning forest of each shard's links, through
     which all points within radius of each other are connected."""
     n = points.count()
-    depth = min(DEPTH, max(0, math.ceil(math.log2(max(n, 1) / SHARD))))
-    drawn = bounded_sample(points.select("fp"), SAMPLE, "fp").toArrow().column("fp").to_numpy().view(np.uint64) if depth else np.zeros(0, np.uint64)
+    depth = max(0, math.ceil(1.6 * math.log2(max(n, 1) / SHARD)))  # overlap makes a level's halves larger than halves
+    rows = min(MOST_SAMPLE, max(SAMPLE, DRAWN * n // SHARD))
+    drawn = bounded_sample(points.select("fp"), rows, "fp").toArrow().column("fp").to_numpy().view(np.uint64) if depth else np.zeros(0, np.uint64)
     tree = plan(drawn, depth, radius)
 
     def deal(batches):
@@ -184,21 +198,26 @@ def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
     """doc_id, fp (long) and component_id of every row: the smallest doc_id reachable over links between fingerprints
     that differ in at most radius bits.
 
-    A null doc_id counts as smallest, and its component's component_id is null. Texts without words all have fp 0 and
-    are linked as any other. Repeated rows come out repeated. Extra columns take no part; an empty df gives no rows.
+    A null doc_id names no component, unless all are null. Texts are read whole, however long they are; those without
+    words all have fp 0 and are linked as any other. Repeated rows come out repeated. Extra columns take no part; an empty
+    df gives no rows.
     """
     fps = settle(simhash(df, id, text, width), "simhash-fingerprints")
-    points = settle(fps.groupBy("fp").agg(F.min(key_of("doc_id")).alias("key")), "simhash-points")
+    points = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("key"), F.count("*").alias("n")), "simhash-points")
     parts = components(hamming_links(points, radius), "simhash-components")
-    linked = parts.join(points, parts["node"] == points["fp"]).select("fp", "component", "key")
-    least = linked.groupBy("component").agg(F.min("key").alias("least"))
-    of_point = points.join(linked.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "key").alias("component_id"))
-    return fps.join(of_point, "fp").select("doc_id", "fp", F.expr("nullif(component_id, -9223372036854775808L)").alias("component_id"))
+    linked = settle(parts.join(points, parts["node"] == points["fp"]).select("fp", "component", "key"), "simhash-linked")
+    least = settle(linked.groupBy("component").agg(F.min("key").alias("least"), F.count("*").alias("m")), "simhash-least")
+    named = even_join(linked.select("fp", "component"), least, "component", "fp", "m").select("fp", "least")
+    of_point = settle(points.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "key").alias("component_id")), "simhash-of-point")
+    return even_join(fps, of_point, "fp", "doc_id", "n").select("doc_id", "fp", "component_id")
 
 
-#: Points and shingles of a block when rings are compared; standard errors added to the distance that the similarity
-#: stands for, so that of pairs at the similarity itself about one in 10,000 is not looked at.
-RING_BLOCK, RING_SHINGLES, MARGIN = 16_384, 4_000_000, 4.0
+#: MinHash bands and minima of each: of pairs at similarity 0.8 one in 37,000 shares no band, and fewer above it.
+BANDS, MINIMA = 20, 4
+#: Points and shingles of a group when buckets are compared; standard errors added to the Hamming distance that the
+#: similarity stands for, so that of pairs at the similarity itself less than one in a million is passed over.
+BUCKET, GROUP_SHINGLES, MARGIN = 16_384, 2_000_000, 5.0
+_ODD = np.random.default_rng(7).integers(0, 2**63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -215,20 +234,16 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """Four fingerprints of 64 bits from as many mixes of the shingles' hashes."""
-    n, found = len(hashes), []
-    for k in range(4):
-        votes = np.zeros(64, np.int64)
-        for at in range(0, n, 65_536):
-            part = hashes[at : at + 65_536]
-            if k:
-                part = (part ^ (part >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-                part = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                part ^= part >> np.uint64(32)
-            votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        found.append(int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0]))
-    return found
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS numbers; two sets share each with the probability similarity ** MINIMA. None of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    mixed = hashes ^ (hashes >> np.uint64(29))
+    least = np.full(len(_ODD), ~np.uint64(0))
+    for at in range(0, len(mixed), 4096):
+        least = np.minimum(least, (mixed[at : at + 4096, None] * _ODD).min(0))
+    least = (least ^ (least >> np.uint64(31))) * _ODD[::-1]
+    return least.reshape(BANDS, MINIMA).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
 
 
 def bits_for(similarity: float, bits: int, errors: float) -> int:
@@ -237,20 +252,6 @@ def bits_for(similarity: float, bits: int, errors: float) -> int:
     return math.floor(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
 
-def candidates(fps: np.ndarray, n: np.ndarray, similarity: float):
-    """fps: (points, 4). Pairs that are near in all bits and in length, as arrays, in pieces."""
-    near, first = bits_for(similarity, 256, MARGIN), bits_for(similarity, 64, MARGIN)
-    lead = np.ascontiguousarray(fps[:, 0])
-    for at in range(0, len(fps), 256):
-        a, b = np.nonzero(distance(lead[at:], lead[at : at + 256, None]) <= first)
-        later = b > a
-        a, b = a[later] + at, b[later] + at
-        ok = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
-        a, b = a[ok], b[ok]
-        ok = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= near
-        yield a[ok], b[ok]
-
-
 def as_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sets (sorted, without repeats) have this Jaccard similarity."""
     both = np.sort(np.concatenate([a, b]), kind="stable")
@@ -258,88 +259,147 @@ def as_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared) - 1e-9
 
 
-def similar(fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The smallest index linked to each point, over candidates whose sets are as similar. Of the pairs between two trees
-    one is compared at a time, so a group of m copies takes about m comparisons."""
-    forest = Forest(len(fps))
-    for a, b in candidates(fps, np.array([len(x) for x in sets], np.int64), similarity):
-        while len(a):
-            forest.flatten()
-            x, y = forest.up[a], forest.up[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            _, one = np.unique(np.minimum(x, y) * len(fps) + np.maximum(x, y), return_index=True)
-            ok = np.array([as_similar(sets[i], sets[j], similarity) for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True)], bool)
-            forest.join(a[one][ok], b[one][ok])
-            a, b = np.delete(a, one), np.delete(b, one)
-    forest.flatten()
-    return forest.up
+def apart(fps: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float):
+    """Pairs of points in different groups that may be as similar, by length and fingerprint, as arrays, in pieces. Points
+    of the largest group are not compared with each other."""
+    near = bits_for(similarity, 64, MARGIN)
+    names, which, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    rest = np.flatnonzero(which != sizes.argmax())
+    for at in range(0, len(rest), 256):
+        mine = rest[at : at + 256]
+        a, b = np.nonzero(distance(fps, fps[mine, None]) <= near)
+        a = mine[a]
+        ok = (which[a] != which[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+        yield a[ok], b[ok]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs: distinct a, b (nodes). Those whose sets (node, n, shingles) are as similar: the members of each a are brought
+    to it in groups of bounded size."""
+    pairs = settle(pairs, "simhash-pairs")
+    of_a = settle(pairs.groupBy("a").agg(F.count("*").alias("m")), "simhash-leads")
+    nodes = pairs.select(F.col("b").alias("node")).union(of_a.select(F.col("a").alias("node"))).distinct()
+    own = settle(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    of_b = pairs.groupBy("b").agg(F.count("*").alias("k"))
+    known = settle(own.join(of_b, own["node"] == of_b["b"]).select("b", "k", F.col("n").alias("nb"), F.col("shingles").alias("s")), "simhash-members")
+    members = even_join(pairs, known, "b", "a", "k")
+    total = members.agg(F.sum("nb")).first()[0] or 0
+    cells = max(1, math.ceil(total / GROUP_SHINGLES))
+    leads = own.join(of_a, own["node"] == of_a["a"]).select("a", F.col("n").alias("na"), F.col("shingles").alias("s"), "m")
+    # members of one a go to as many parts as its work needs, by the share of all members' shingles
+    weight = leads.select("a", F.greatest(F.lit(1), F.ceil(F.col("m") * F.col("na") / GROUP_SHINGLES)).cast("int").alias("parts"), "m", "na", "s")
+    few = weight.where("parts > 1").select("a", "parts")  # at most one for each GROUP_SHINGLES of work
+    part = F.pmod(F.xxhash64("b", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int")
+    cell = F.pmod(F.xxhash64("a", "part"), F.lit(cells)).cast("int")
+    members = members.join(few, "a", "left").withColumn("part", part).select(cell.alias("cell"), "a", "part", "b", "s")
+    leads = weight.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(cell.alias("cell"), "a", "part", F.col("a").alias("b"), "s")
+
+    def check(key, group):
+        group = group.sort_by([("a", "ascending"), ("part", "ascending")])
+        a, part, b = (group.column(c).to_numpy() for c in ("a", "part", "b"))
+        found, sets = np.zeros(len(a), bool), [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("s")]
+        edges = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])))
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(a)], strict=True):
+            lead = lo + int(np.flatnonzero(b[lo:hi] == a[lo:hi])[0])
+            for k in range(lo, hi):
+                found[k] = k != lead and as_similar(sets[lead], sets[k], similarity)
+        return pa.table({"a": pa.array(a[found]), "b": pa.array(b[found])})
+
+    return settle(members.union(leads).groupBy("cell").applyInArrow(check, "a long, b long"), "simhash-links")
 
 
 def similar_components(df: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(rows, parts): doc key, text hash and node of each row; node and component of the nodes that are linked.
 
-    A node is a set of shingles. The first vantage point is the empty text, and the distance to it the logarithm of a
-    text's distinct shingles: texts that are as similar as asked for lie in the same ring or in neighbouring ones, so
-    each ring overlaps into the next. A ring is compared in blocks of bounded size, twice: by fingerprints, which finds
-    the nodes that have a candidate in a block, and by these nodes' shingles. Only spanning forests leave the blocks.
+    A node is a set of shingles. Candidates are: nodes of one fingerprint, the links of the vantage-point trees, and, as
+    the trees can't prune at the distance that such a similarity allows, nodes that share one of BANDS MinHash bands. At
+    first each node is compared with the smallest of its bucket. Buckets whose nodes are all connected then are done; in
+    the others nodes of different components are compared, the largest component's not with each other.
     """
-    source = df.select(key_of(id).alias("_key"), F.xxhash64(text).alias("_hash"), text_of(text).alias("text"))
+    source = df.select(key_of(id).alias("key"), F.xxhash64(text).alias("hash"), text_of(text).alias("text"))
 
     def run(batches):
         for batch in batches:
             own = [shingles(t, width) for t in batch.column(2).to_pylist()]
-            fps = np.array([wide_fingerprint(x) for x in own], np.uint64).reshape(-1, 4).view(np.int64)
-            sets = [x.astype("<u8").tobytes() for x in own]
-            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
-            columns = [pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), *(pa.array(fps[:, k]) for k in range(4)), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_key", "_hash", "node", "n", "f0", "f1", "f2", "f3", "shingles"])
+            fps = np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64)
+            raw = [x.astype("<u8").tobytes() for x in own]
+            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
+            kept = pa.array([bands(x).view(np.int64) for x in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), pa.array(fps), kept, pa.array(raw, pa.binary())], names=["key", "hash", "node", "n", "fp", "bands", "shingles"])
         tidy()
 
-    rows = settle(source.mapInArrow(run, "_key long, _hash long, node long, n long, f0 long, f1 long, f2 long, f3 long, shingles binary"), "simhash-wide")
-    points = rows.select("node", "n", "f0", "f1", "f2", "f3").dropDuplicates(["node"])
-    ring = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log("n") / math.log(1 / similarity) + 1e-9)).cast("int")
-    ringed = settle(points.withColumn("ring", F.explode(F.array(ring, ring + 1))), "simhash-rings")
-    sizes = ringed.groupBy("ring").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).collect()
-    parts_of = {r["ring"]: max(1, math.ceil(r["points"] / RING_BLOCK), math.ceil(r["shingles"] / RING_SHINGLES)) for r in sizes}
-    counts = F.create_map(*(F.lit(x) for kv in parts_of.items() for x in kv)) if parts_of else F.create_map(F.lit(0), F.lit(1))
-    own = F.pmod(F.xxhash64("node", F.lit(1)), counts[F.col("ring")]).cast("int")
-    blocks = ringed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), counts[F.col("ring")] - 1)))
-    blocks = blocks.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    place = ["ring", "lo", "hi"]
-
-    def prints(group):
-        return np.stack([group.column(f"f{k}").to_numpy().view(np.uint64) for k in range(4)], 1)
+    rows = settle(source.mapInArrow(run, "key long, hash long, node long, n long, fp long, bands array<long>, shingles binary"), "simhash-rows")
+    sets = rows.select("node", "n", "shingles")
+    points = settle(rows.select("node", "n", "fp", "bands").dropDuplicates(["node"]).where("n > 0"), "simhash-nodes")
+    near = bits_for(similarity, 64, MARGIN)
+
+    def may_be(x: str, y: str):
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return (F.least(n, m) >= similarity * F.greatest(n, m)) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= near)
+
+    # candidates by fingerprint
+    of_fp = settle(points.groupBy("fp").agg(F.min(F.struct("node", "n", "fp")).alias("lead"), F.count("*").alias("m")), "simhash-fps")
+    own = F.struct("node", "n", "fp").alias("own")
+    same = even_join(points.select("fp", own), of_fp.select("fp", "lead", "m"), "fp", "own", "m").where("own.node <> lead.node")
+    edges = hamming_links(of_fp.select("fp"), 3)
+    tied = edges.join(of_fp.select(F.col("fp").alias("a"), F.col("lead").alias("own")), "a").join(of_fp.select(F.col("fp").alias("b"), "lead"), "b")
+    # candidates by bands
+    placed = settle(points.select(F.explode("bands").alias("band"), own), "simhash-bands")
+    buckets = placed.groupBy("band").agg(F.min("own").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    shared = settle(even_join(placed, settle(buckets, "simhash-buckets"), "band", "own", "m"), "simhash-shared")
+    led = shared.where("own.node <> lead.node")
+    every = same.select("lead", "own").union(tied.select("lead", "own")).union(led.select("lead", "own")).where(may_be("lead", "own"))
+    first = verified(every.select(F.least("lead.node", "own.node").alias("a"), F.greatest("lead.node", "own.node").alias("b")).distinct(), sets, similarity)
+    # buckets that are not connected by these
+    parts = settle(components(first, "simhash-similar"), "simhash-parts")
+    grouped = shared.join(parts, F.col("own.node") == parts["node"], "left").select("band", "own", F.coalesce("component", "own.node").alias("part"))
+    grouped = settle(grouped, "simhash-grouped")
+    sizes = grouped.groupBy("band", "part").agg(F.count("*").alias("k"))
+    open_ones = sizes.groupBy("band").agg(F.max(F.struct("k", "part"))["part"].alias("largest"), F.max("k").alias("in_largest"), F.sum("k").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    open_ones = settle(open_ones, "simhash-open")
+    left = even_join(grouped, open_ones, "band", "own", "m")
+    # the largest component's nodes in blocks of their own; pairs of blocks in which others take part
+    q, p = (F.ceil(c / BUCKET).cast("int") for c in (F.col("in_largest"), F.col("size") - F.col("in_largest")))
+    left = left.join(F.broadcast(open_ones.where(F.col("m") > BUCKET).select("band", F.col("m").alias("size"))), "band", "left")  # at most one for each BUCKET rows
+    other = F.col("part") != F.col("largest")
+    block = F.when(other, F.pmod(F.xxhash64("own.node", F.lit(1)), p)).otherwise(p + F.pmod(F.xxhash64("own.node", F.lit(1)), q))
+    with_ = F.when(F.col("size").isNull(), F.array(F.lit(0))).when(other, F.sequence(F.lit(0), p + q - 1)).otherwise(F.sequence(F.lit(0), p - 1))
+    left = left.withColumn("block", F.coalesce(block, F.lit(0)).cast("int")).withColumn("with", F.explode(with_))
+    left = left.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "own.node", "own.n", "own.fp", "part", F.col("size").isNull().alias("small"))
+    left = settle(left, "simhash-left")
+    cells = max(1, math.ceil(left.where("small").count() / BUCKET))
+    cell = F.when(F.col("small"), F.pmod(F.xxhash64("band", F.lit(5)), F.lit(cells))).otherwise(F.xxhash64("band", "lo", "hi"))
 
     def look(key, group):
-        found = np.zeros(len(group), bool)
-        for a, b in candidates(prints(group), group.column("n").to_numpy(), similarity):
-            found[a] = found[b] = True
-        return group.filter(pa.array(found))
-
-    def forest(key, group):
-        group = group.sort_by("node")
-        nodes = group.column("node").to_numpy()
-        top = similar(prints(group), [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")], similarity)
-        tied = np.flatnonzero(top != np.arange(len(top)))
-        return pa.table({"a": pa.array(nodes[tied]), "b": pa.array(nodes[top[tied]])})
-
-    found = blocks.select(*place, "node", "n", "f0", "f1", "f2", "f3").groupBy(*place).applyInArrow(look, "ring int, lo int, hi int, node long, n long, f0 long, f1 long, f2 long, f3 long")
-    found = settle(found.drop("n"), "simhash-candidates")
-    sets = rows.select("node", "shingles").join(found.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    links = found.join(sets, "node").groupBy(*place).applyInArrow(forest, "a long, b long")
-    return rows.select("_key", "_hash", "node"), components(links, "simhash-similar")
+        group = group.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+        band, lo, hi, node, n, part = (group.column(c).to_numpy() for c in ("band", "lo", "hi", "node", "n", "part"))
+        fps, found = group.column("fp").to_numpy().view(np.uint64), []
+        edges = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+        for at, end in zip(edges.tolist(), [*edges[1:].tolist(), len(band)], strict=True):
+            for a, b in apart(fps[at:end], n[at:end], part[at:end], similarity):
+                if len(a):
+                    pairs = np.stack([np.minimum(node[at + a], node[at + b]), np.maximum(node[at + a], node[at + b])], 1)
+                    found.append(np.unique(pairs, axis=0))
+        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    pairs = left.withColumn("cell", cell).groupBy("cell").applyInArrow(look, "a long, b long").distinct()
+    second = verified(pairs, sets, similarity)
+    return rows.select("key", "hash", "node"), components(first.union(second), "simhash-similar")
 
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without near copies: of each group of linked texts the row with the smallest (doc_id, text hash) stays, once.
 
-    Two texts are linked if their distinct shingles have a Jaccard similarity of `similarity` or more. 256 SimHash bits
-    choose the pairs that are compared (within MARGIN standard errors). Null texts count as empty, and all texts without
-    words are copies of each other. Extra columns stay.
+    Two texts are linked if their distinct shingles have a Jaccard similarity of `similarity` or more, which is computed
+    exactly for every candidate (see similar_components). Null texts count as empty, and all texts without words are copies
+    of each other. Texts are read whole, however long they are. Columns of any name stay; an empty df stays empty.
     """
     rows, parts = similar_components(df, id, text, width, similarity)
-    group = rows.join(parts, "node", "left").select(F.coalesce("component", "node").alias("group"), F.struct("_key", "_hash").alias("row"))
-    stays = group.groupBy("group").agg(F.min("row").alias("row")).select("row._key", "row._hash")
-    keyed = df.withColumn("_key", key_of(id)).withColumn("_hash", F.xxhash64(text))
-    return keyed.join(stays, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(df.columns)
+    group = rows.join(parts, "node", "left").select(F.coalesce("component", "node").alias("group"), F.struct("key", "hash").alias("row"))
+    key, hashed = fresh(df, "_key", "_hash")
+    stays = group.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.key").alias(key), F.col("row.hash").alias(hashed))
+    keyed = df.withColumn(key, key_of(id)).withColumn(hashed, F.xxhash64(text))
+    return keyed.join(stays, [key, hashed], "left_semi").dropDuplicates([key, hashed]).select(df.columns)

@@ -59,7 +59,8 @@ def jaccard(a, b):
 
 
 def test_near_duplicates_of_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "RING_BLOCK", 50)
+    monkeypatch.setattr(simhash, "BUCKET", 20)
+    monkeypatch.setattr(simhash, "GROUP_SHINGLES", 3000)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(3000)]
     base = [[rng.choice(words) for _ in range(200)] for _ in range(40)]
@@ -74,3 +75,31 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
     first = [i for i, t in rows if not any(jaccard(t, u) >= 0.8 for j, u in rows[max(0, i - 61) : i])]
     assert kept == set(first)
+
+
+def test_columns_of_any_name_stay(spark, tables):
+    home, docs, _ = tables
+    own = spark.read.parquet(f"{home}/documents.parquet").selectExpr("*", "7 as _key", "8 as _hash", "9 as _score", "1 as _v", "2 as _g")
+    for _, stage in p.STAGES[:4]:
+        found = stage(spark, own, home)
+        assert found.dtypes == own.dtypes
+        rows = found.select("_key", "_hash", "_score", "_v", "_g").distinct().collect()
+        assert [tuple(r) for r in rows] == [(7, 8, 9, 1, 2)]
+
+
+def test_edits_of_several_words(spark):
+    """Copies with words changed, put in and left out: every pair at 0.8 or more is one group."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    rows, apart = [], 0
+    for k in range(150):
+        own = [rng.choice(words) for _ in range(rng.choice([40, 150, 600]))]
+        other = list(own)
+        for _ in range(rng.randint(1, max(1, len(own) // 35))):
+            at, kind = rng.randrange(len(other)), rng.randrange(3)
+            other[at : at + (kind != 1)] = [rng.choice(words)] * (kind != 2)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        apart += jaccard(rows[-2][1], rows[-1][1]) < 0.8
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i for i, t in rows if i % 2 == 0 or jaccard(t, rows[i - 1][1]) < 0.8}
+    assert 10 < apart < 120 and kept == want

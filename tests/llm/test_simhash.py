@@ -82,7 +82,8 @@ def test_documents(spark, monkeypatch):
 def test_ties_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, "same text here now"), (3, "same text here now"), (3, "same text here now"), (3, "other words entirely so"), (2, "other words entirely so")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(df).collect()), key=str)
-    assert got == [(2, 2), (3, 2), (3, None), (3, None), (None, None)]
+    assert got == [(2, 2), (3, 2), (3, 3), (3, 3), (None, 3)]
+    assert simhash.simhash_components(df.where("doc_id is null")).first()["component_id"] is None
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
