@@ -42,6 +42,22 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return settled(df, label)[0]
 
 
+class Scratch:
+    """Settled tables that are deleted together, when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        found, path = settled(df, label)
+        self.paths.append(path)
+        return found
+
+    def clear(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths = []
+
+
 #: A key is hot with more rows than this, and than one in so many of all; rows of a hot key go to so many tasks.
 HOT_ROWS, HOT_SHARE, HOT_TASKS = 1000, 1000, 64
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm._shared import bounded_sample, even_join, fresh, key_of, settle, text_of, tidy
+from gridwright.llm._shared import Scratch, bounded_sample, even_join, fresh, key_of, settle, text_of, tidy
 from gridwright.llm.components import components
 
 SEED = 42
@@ -202,13 +202,15 @@ def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
     words all have fp 0 and are linked as any other. Repeated rows come out repeated. Extra columns take no part; an empty
     df gives no rows.
     """
+    scratch = Scratch(df.sparkSession)
     fps = settle(simhash(df, id, text, width), "simhash-fingerprints")
-    points = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("key"), F.count("*").alias("n")), "simhash-points")
+    points = scratch.settle(fps.groupBy("fp").agg(F.min("doc_id").alias("key"), F.count("*").alias("n")), "simhash-points")
     parts = components(hamming_links(points, radius), "simhash-components")
-    linked = settle(parts.join(points, parts["node"] == points["fp"]).select("fp", "component", "key"), "simhash-linked")
-    least = settle(linked.groupBy("component").agg(F.min("key").alias("least"), F.count("*").alias("m")), "simhash-least")
+    linked = scratch.settle(parts.join(points, parts["node"] == points["fp"]).select("fp", "component", "key"), "simhash-linked")
+    least = scratch.settle(linked.groupBy("component").agg(F.min("key").alias("least"), F.count("*").alias("m")), "simhash-least")
     named = even_join(linked.select("fp", "component"), least, "component", "fp", "m").select("fp", "least")
     of_point = settle(points.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "key").alias("component_id")), "simhash-of-point")
+    scratch.clear()
     return even_join(fps, of_point, "fp", "doc_id", "n").select("doc_id", "fp", "component_id")
 
 
@@ -275,17 +277,18 @@ def apart(fps: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float):
         yield a[ok], b[ok]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """pairs: distinct a, b (nodes). Those whose sets (node, n, shingles) are as similar: the members of each a are brought
     to it in groups of bounded size."""
-    pairs = settle(pairs, "simhash-pairs")
-    of_a = settle(pairs.groupBy("a").agg(F.count("*").alias("m")), "simhash-leads")
-    nodes = pairs.select(F.col("b").alias("node")).union(of_a.select(F.col("a").alias("node"))).distinct()
-    own = settle(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    pairs = scratch.settle(pairs, "simhash-pairs")
+    of_a = scratch.settle(pairs.groupBy("a").agg(F.count("*").alias("m")), "simhash-leads")
+    # written, so that its size is known when the join is planned: sets are exchanged only if there are too many nodes to send
+    nodes = scratch.settle(pairs.select(F.col("b").alias("node")).union(of_a.select(F.col("a").alias("node"))).distinct(), "simhash-asked")
+    own = scratch.settle(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
     of_b = pairs.groupBy("b").agg(F.count("*").alias("k"))
-    known = settle(own.join(of_b, own["node"] == of_b["b"]).select("b", "k", F.col("n").alias("nb"), F.col("shingles").alias("s")), "simhash-members")
+    known = scratch.settle(own.join(of_b, own["node"] == of_b["b"]).select("b", "k", F.col("n").alias("nb"), F.col("shingles").alias("s")), "simhash-members")
     members = even_join(pairs, known, "b", "a", "k")
-    total = members.agg(F.sum("nb")).first()[0] or 0
+    total = known.agg(F.sum(F.col("k") * F.col("nb"))).first()[0] or 0
     cells = max(1, math.ceil(total / GROUP_SHINGLES))
     leads = own.join(of_a, own["node"] == of_a["a"]).select("a", F.col("n").alias("na"), F.col("shingles").alias("s"), "m")
     # members of one a go to as many parts as its work needs, by the share of all members' shingles
@@ -307,7 +310,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 found[k] = k != lead and as_similar(sets[lead], sets[k], similarity)
         return pa.table({"a": pa.array(a[found]), "b": pa.array(b[found])})
 
-    return settle(members.union(leads).groupBy("cell").applyInArrow(check, "a long, b long"), "simhash-links")
+    return scratch.settle(members.union(leads).groupBy("cell").applyInArrow(check, "a long, b long"), "simhash-links")
 
 
 def similar_components(df: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -320,19 +323,24 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
     """
     source = df.select(key_of(id).alias("key"), F.xxhash64(text).alias("hash"), text_of(text).alias("text"))
 
+    names = ["key", "hash", "node", "n", "fp", "bands", "shingles"]
+
     def run(batches):
-        for batch in batches:
-            own = [shingles(t, width) for t in batch.column(2).to_pylist()]
-            fps = np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64)
-            raw = [x.astype("<u8").tobytes() for x in own]
-            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
-            kept = pa.array([bands(x).view(np.int64) for x in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), pa.array(fps), kept, pa.array(raw, pa.binary())], names=["key", "hash", "node", "n", "fp", "bands", "shingles"])
+        for whole in batches:
+            for at in range(0, len(whole), 500):  # a text's shingles take more room than the text
+                batch = whole.slice(at, 500)
+                own = [shingles(t, width) for t in batch.column(2).to_pylist()]
+                fps = np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64)
+                raw = [x.astype("<u8").tobytes() for x in own]
+                nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
+                kept = pa.array([bands(x).view(np.int64) for x in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), pa.array(fps), kept, pa.array(raw, pa.binary())], names=names)
         tidy()
 
+    scratch = Scratch(df.sparkSession)
     rows = settle(source.mapInArrow(run, "key long, hash long, node long, n long, fp long, bands array<long>, shingles binary"), "simhash-rows")
     sets = rows.select("node", "n", "shingles")
-    points = settle(rows.select("node", "n", "fp", "bands").dropDuplicates(["node"]).where("n > 0"), "simhash-nodes")
+    points = scratch.settle(rows.select("node", "n", "fp", "bands").dropDuplicates(["node"]).where("n > 0"), "simhash-nodes")
     near = bits_for(similarity, 64, MARGIN)
 
     def may_be(x: str, y: str):
@@ -340,25 +348,25 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
         return (F.least(n, m) >= similarity * F.greatest(n, m)) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= near)
 
     # candidates by fingerprint
-    of_fp = settle(points.groupBy("fp").agg(F.min(F.struct("node", "n", "fp")).alias("lead"), F.count("*").alias("m")), "simhash-fps")
+    of_fp = scratch.settle(points.groupBy("fp").agg(F.min(F.struct("node", "n", "fp")).alias("lead"), F.count("*").alias("m")), "simhash-fps")
     own = F.struct("node", "n", "fp").alias("own")
     same = even_join(points.select("fp", own), of_fp.select("fp", "lead", "m"), "fp", "own", "m").where("own.node <> lead.node")
     edges = hamming_links(of_fp.select("fp"), 3)
     tied = edges.join(of_fp.select(F.col("fp").alias("a"), F.col("lead").alias("own")), "a").join(of_fp.select(F.col("fp").alias("b"), "lead"), "b")
     # candidates by bands
-    placed = settle(points.select(F.explode("bands").alias("band"), own), "simhash-bands")
+    placed = scratch.settle(points.select(F.explode("bands").alias("band"), own), "simhash-bands")
     buckets = placed.groupBy("band").agg(F.min("own").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    shared = settle(even_join(placed, settle(buckets, "simhash-buckets"), "band", "own", "m"), "simhash-shared")
+    shared = scratch.settle(even_join(placed, scratch.settle(buckets, "simhash-buckets"), "band", "own", "m"), "simhash-shared")
     led = shared.where("own.node <> lead.node")
     every = same.select("lead", "own").union(tied.select("lead", "own")).union(led.select("lead", "own")).where(may_be("lead", "own"))
-    first = verified(every.select(F.least("lead.node", "own.node").alias("a"), F.greatest("lead.node", "own.node").alias("b")).distinct(), sets, similarity)
+    first = verified(every.select(F.least("lead.node", "own.node").alias("a"), F.greatest("lead.node", "own.node").alias("b")).distinct(), sets, similarity, scratch)
     # buckets that are not connected by these
-    parts = settle(components(first, "simhash-similar"), "simhash-parts")
+    parts = scratch.settle(components(first, "simhash-similar"), "simhash-parts")
     grouped = shared.join(parts, F.col("own.node") == parts["node"], "left").select("band", "own", F.coalesce("component", "own.node").alias("part"))
-    grouped = settle(grouped, "simhash-grouped")
+    grouped = scratch.settle(grouped, "simhash-grouped")
     sizes = grouped.groupBy("band", "part").agg(F.count("*").alias("k"))
     open_ones = sizes.groupBy("band").agg(F.max(F.struct("k", "part"))["part"].alias("largest"), F.max("k").alias("in_largest"), F.sum("k").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    open_ones = settle(open_ones, "simhash-open")
+    open_ones = scratch.settle(open_ones, "simhash-open")
     left = even_join(grouped, open_ones, "band", "own", "m")
     # the largest component's nodes in blocks of their own; pairs of blocks in which others take part
     q, p = (F.ceil(c / BUCKET).cast("int") for c in (F.col("in_largest"), F.col("size") - F.col("in_largest")))
@@ -368,7 +376,7 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
     with_ = F.when(F.col("size").isNull(), F.array(F.lit(0))).when(other, F.sequence(F.lit(0), p + q - 1)).otherwise(F.sequence(F.lit(0), p - 1))
     left = left.withColumn("block", F.coalesce(block, F.lit(0)).cast("int")).withColumn("with", F.explode(with_))
     left = left.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "own.node", "own.n", "own.fp", "part", F.col("size").isNull().alias("small"))
-    left = settle(left, "simhash-left")
+    left = scratch.settle(left, "simhash-left")
     cells = max(1, math.ceil(left.where("small").count() / BUCKET))
     cell = F.when(F.col("small"), F.pmod(F.xxhash64("band", F.lit(5)), F.lit(cells))).otherwise(F.xxhash64("band", "lo", "hi"))
 
@@ -386,8 +394,10 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     pairs = left.withColumn("cell", cell).groupBy("cell").applyInArrow(look, "a long, b long").distinct()
-    second = verified(pairs, sets, similarity)
-    return rows.select("key", "hash", "node"), components(first.union(second), "simhash-similar")
+    second = verified(pairs, sets, similarity, scratch)
+    found = components(first.union(second), "simhash-similar")
+    scratch.clear()
+    return rows.select("key", "hash", "node"), found
 
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -144,10 +144,15 @@ class ToxicityModel:
         runs = [run for run in set(SPELLED.findall(text)) if LETTERS.search(run)]
         return (SPELLED.sub(" ", text) if runs else text), [w for run in runs for w in LETTERS.findall(self.restore(run))]
 
-    def all_words(self, text: str) -> set[str]:
-        """The words of the restored text."""
+    def all_words(self, text: str, known: dict[str, list[str]] | None = None) -> set[str]:
+        """The words of the restored text. known: tokens read before, for who reads many texts."""
         rest, found = self.apart(text)
-        return {w for t in set(rest.split()) for w in self.words(t)}.union(found)
+        found, known = set(found), {} if known is None else known
+        for t in set(rest.split()):
+            if t not in known:
+                known[t] = self.words(t)
+            found.update(known[t])
+        return found
 
     def restored_text(self, text: str) -> str:
         """The text in lower case with odd-looking tokens and spelled words restored."""
@@ -262,10 +267,14 @@ def fit(documents: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Toxi
     texts = documents.select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
     def restored(batches):
+        known: dict[str, list[str]] = {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            words = pa.array([sorted(model.all_words(t)) for t in texts], pa.list_(pa.string()))
+            if len(known) > REMEMBERED:
+                known.clear()
+            words = pa.array([sorted(model.all_words(t, known)) for t in texts], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), words, pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))], names=["toxic", "words", "sketch"])
+        known.clear()
         tidy()
 
     read = settle(texts.repartition(64).select("toxic", "text").mapInArrow(restored, "toxic int, words array<string>, sketch array<long>"), "toxicity-sample")
