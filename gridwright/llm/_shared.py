@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,14 @@ def text_of(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python gets at most so many texts at once: a batch of the default 10,000 takes room in the JVM and in Python several
+    times over. A smaller number that the session has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished jobs now: it does so when the driver collects garbage."""
     gc.collect()
@@ -121,5 +130,6 @@ def tidy() -> None:
     """At the end of a Python task: collects garbage and gives freed memory back, as workers live on between tasks."""
     gc.enable()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

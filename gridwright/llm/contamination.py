@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import text_of, tidy
+from gridwright.llm._shared import small_batches, text_of, tidy
 
 LEAST_WORDS, PIECE, BLOCK_WORDS = 8, 40, 2_000_000
 MATCH, OTHER = 2, -1
@@ -292,6 +292,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     """
     if not LEAST_SCORE <= least <= 1:
         raise ValueError(f"least must be from {LEAST_SCORE} to 1")
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     found = own.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     for part in blocks(benchmark, block_words):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import bounded_sample, settle, text_of, tidy
+from gridwright.llm._shared import bounded_sample, settle, small_batches, text_of, tidy
 
 HIDDEN, CHUNK, WARM = 12, 224, 16
 OUTSIDE, SYMBOLS = 256, 257
@@ -214,6 +214,7 @@ def identify(df: DataFrame, model: BiGru, text: str = "text") -> DataFrame:
     clash = {"lang_pred", "score"} & set(df.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already")
+    small_batches(df.sparkSession)
     schema = df.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     source = df.withColumn("lang_pred", text_of(text))
 

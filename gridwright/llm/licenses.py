@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridwright.llm._shared import settle, text_of
+from gridwright.llm._shared import settle, small_batches, text_of
 from gridwright.llm.contamination import MATCH, scored, words_of
 
 GRAM, LONG_GRAM, LONG, SHIFT, COVER, MOST_WORDS = 2, 3, 20, 3, 0.7, 100_000
@@ -137,6 +137,7 @@ def license_hits(df: DataFrame, base: dict[str, str] = BASE, templates: dict[str
             kind = pa.list_(pa.struct([("at", pa.int64()), ("gram", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(grams, kind)], names=["doc_id", "n_words", "grams"])
 
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     source = df.select(F.col(id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     rows = source.mapInArrow(run, "doc_id long, n_words long, grams array<struct<at:long,gram:long>>")

@@ -11,6 +11,7 @@ components of all forests together are those of all links.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm._shared import Scratch, bounded_sample, even_join, fresh, key_of, settle, text_of, tidy
+from gridwright.llm._shared import Scratch, bounded_sample, even_join, fresh, key_of, settle, small_batches, text_of, tidy
 from gridwright.llm.components import components
 
 SEED = 42
@@ -57,6 +58,7 @@ def fingerprint(text: str, width: int) -> int:
 
 def simhash(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """doc_id (as it is) and fp (long, the fingerprint's 64 bits) of every row. Null texts count as empty."""
+    small_batches(df.sparkSession)
     source = df.select(F.col(id).cast("long").alias("doc_id"), text_of(text).alias("text"))
 
     def run(batches):
@@ -178,11 +180,16 @@ def hamming_links(points: DataFrame, radius: int) -> DataFrame:
     tree = plan(drawn, depth, radius)
 
     def deal(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, rows in leaves(tree, fps, np.arange(len(fps)), radius):
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int64)), *taken.columns], names=["shard", "fp"])
+        kept, size = [], 0
+        for batch in itertools.chain(batches, [None]):  # many points at once, however small the batches are
+            if batch is not None:
+                kept.append(batch.column(0).to_numpy(zero_copy_only=False))
+                size += len(batch)
+            if size and (batch is None or size >= SAMPLE):
+                fps = np.concatenate(kept).view(np.uint64)
+                for leaf, rows in leaves(tree, fps, np.arange(len(fps)), radius):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int64)), pa.array(fps[rows].view(np.int64))], names=["shard", "fp"])
+                kept, size = [], 0
 
     def forest(key, group):
         nodes = np.sort(group.column("fp").to_numpy())
@@ -218,7 +225,7 @@ def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
 BANDS, MINIMA = 20, 4
 #: Points and shingles of a group when buckets are compared; standard errors added to the Hamming distance that the
 #: similarity stands for, so that of pairs at the similarity itself less than one in a million is passed over.
-BUCKET, GROUP_SHINGLES, MARGIN = 16_384, 2_000_000, 5.0
+BUCKET, GROUP_SHINGLES, MARGIN = 16_384, 1_000_000, 5.0
 _ODD = np.random.default_rng(7).integers(0, 2**63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -308,6 +315,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
             lead = lo + int(np.flatnonzero(b[lo:hi] == a[lo:hi])[0])
             for k in range(lo, hi):
                 found[k] = k != lead and as_similar(sets[lead], sets[k], similarity)
+        tidy()
         return pa.table({"a": pa.array(a[found]), "b": pa.array(b[found])})
 
     return scratch.settle(members.union(leads).groupBy("cell").applyInArrow(check, "a long, b long"), "simhash-links")
@@ -327,8 +335,8 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
 
     def run(batches):
         for whole in batches:
-            for at in range(0, len(whole), 500):  # a text's shingles take more room than the text
-                batch = whole.slice(at, 500)
+            for at in range(0, len(whole), 200):  # a text's shingles take more room than the text
+                batch = whole.slice(at, 200)
                 own = [shingles(t, width) for t in batch.column(2).to_pylist()]
                 fps = np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64)
                 raw = [x.astype("<u8").tobytes() for x in own]
@@ -337,6 +345,7 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), pa.array(fps), kept, pa.array(raw, pa.binary())], names=names)
         tidy()
 
+    small_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession)
     rows = settle(source.mapInArrow(run, "key long, hash long, node long, n long, fp long, bands array<long>, shingles binary"), "simhash-rows")
     sets = rows.select("node", "n", "shingles")
@@ -391,6 +400,7 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
                     pairs = np.stack([np.minimum(node[at + a], node[at + b]), np.maximum(node[at + a], node[at + b])], 1)
                     found.append(np.unique(pairs, axis=0))
         found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        tidy()
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     pairs = left.withColumn("cell", cell).groupBy("cell").applyInArrow(look, "a long, b long").distinct()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import bounded_sample, settle, text_of, tidy
+from gridwright.llm._shared import bounded_sample, settle, small_batches, text_of, tidy
 
 #: Labelled rows that the decision list is fitted on at most.
 FIT_ROWS = 20_000
@@ -32,7 +32,7 @@ LEAST_ROWS, LEAST_SHARE = 3, 0.8
 #: The share of a row's weight that each entry takes away.
 EXPLAINED = 0.2
 STEMS = range(4, 9)
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 #: Letters that a character may stand for.
 LOOKALIKES = {
@@ -133,7 +133,7 @@ class ToxicityModel:
             bare = bare[lo - 1 if 0 < lo < hi and bare[lo - 1] in "@$!|(" else lo : hi]
         if bare.isalpha() and not REPEATED.search(bare) and bare.isascii():
             return [bare]
-        if not LETTERS.search(bare) and not ODD_ONE.search(bare):
+        if not LETTERS.search(bare):  # numbers and marks
             return []
         if ODD_ONE.search(bare) or REPEATED.search(bare) or SEPARATED.search(bare):
             bare = self.restore(bare)
@@ -261,6 +261,7 @@ def fit(documents: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Toxi
     more than `rows` of them those with the smallest hash of doc_id are taken. Several labels of a document: the
     largest; several texts: the largest; null labels don't count. Without labels the list is empty and every score is 0.
     What reaches the driver is bounded by `rows`: the words that three toxic ones of them share."""
+    small_batches(documents.sparkSession)
     model = ToxicityModel(character_model(documents))
     known = labelled.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = bounded_sample(known, rows, "doc_id")
@@ -311,6 +312,7 @@ def score_texts(df: DataFrame, model: ToxicityModel, text: str = "text", score:
     """df with the column score (0 to 1). Null and empty texts get the share of toxic rows without any entry."""
     if score in df.columns:
         raise ValueError(f"column {score} is there already; choose another output name")
+    small_batches(df.sparkSession)
     schema = df.select("*", F.lit(0.0).alias(score)).schema
     source = df.withColumn(score, text_of(text))
 
