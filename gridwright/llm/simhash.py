@@ -321,6 +321,48 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
     return scratch.settle(members.union(leads).groupBy("cell").applyInArrow(check, "a long, b long"), "simhash-links")
 
 
+def verified_within(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The same where a node has many pairs: a forest of the similar ones. The pairs' clusters are found first, so that the
+    sets of a cluster are brought together once, and those of a cluster beyond GROUP_SHINGLES in blocks of rows and columns.
+    Of the pairs between two trees one is compared at a time."""
+    pairs = scratch.settle(pairs, "simhash-dense")
+    clusters = scratch.settle(components(pairs, "simhash-cluster"), "simhash-clusters")
+    own = scratch.settle(sets.join(clusters, "node").dropDuplicates(["node"]), "simhash-sets")
+    sizes = own.groupBy("component").agg(F.sum("n").alias("total"))
+    cells = max(1, math.ceil((own.agg(F.sum("n")).first()[0] or 0) / GROUP_SHINGLES))
+    large = F.broadcast(sizes.where(F.col("total") > GROUP_SHINGLES).select("component", F.ceil(F.col("total") / GROUP_SHINGLES).cast("int").alias("r")))  # at most `cells`
+    of_a = pairs.groupBy("a").agg(F.count("*").alias("m")).join(clusters, F.col("a") == clusters["node"]).select("a", "component", "m")
+    tagged = even_join(pairs, scratch.settle(of_a, "simhash-leads"), "a", "b", "m").join(large, "component", "left")
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.col("r"))
+    cell = F.when(F.col("r").isNull(), F.pmod(F.xxhash64("component"), F.lit(cells))).otherwise(F.xxhash64("component", place("a"), place("b")))
+    tagged = scratch.settle(tagged.select(cell.alias("cell"), "a", "b"), "simhash-tagged")
+    asked = tagged.select(F.col("cell").alias("place"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    brought = asked.join(own.select("node", "shingles"), "node").select("place", "node", "shingles")
+
+    def check(pairs, sets):
+        nodes = sets.column("node").to_numpy()
+        order = np.argsort(nodes)
+        nodes, own = nodes[order], sets.column("shingles").combine_chunks()
+        forest = list(range(len(nodes)))
+
+        def top(k: int) -> int:
+            while forest[k] != k:
+                forest[k] = k = forest[forest[k]]
+            return k
+
+        found = []
+        for a, b in zip(*(np.searchsorted(nodes, pairs.column(c).to_numpy()).tolist() for c in "ab"), strict=True):
+            x, y = top(a), top(b)
+            if x != y and as_similar(*(np.frombuffer(own[int(order[k])].as_buffer(), "<u8") for k in (a, b)), similarity):
+                forest[max(x, y)] = min(x, y)
+                found.append((a, b))
+        found = np.array(found, np.int64).reshape(-1, 2)
+        tidy()
+        return pa.table({"a": pa.array(nodes[found[:, 0]]), "b": pa.array(nodes[found[:, 1]])})
+
+    return scratch.settle(tagged.groupBy("cell").cogroup(brought.groupBy("place")).applyInArrow(check, "a long, b long"), "simhash-links")
+
+
 def similar_components(df: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(rows, parts): doc key, text hash and node of each row; node and component of the nodes that are linked.
 
@@ -404,7 +446,7 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     pairs = left.withColumn("cell", cell).groupBy("cell").applyInArrow(look, "a long, b long").distinct()
-    second = verified(pairs, sets, similarity, scratch)
+    second = verified_within(pairs, sets, similarity, scratch)
     found = components(first.union(second), "simhash-similar")
     scratch.clear()
     return rows.select("key", "hash", "node"), found
