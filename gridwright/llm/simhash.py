@@ -223,9 +223,9 @@ def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
 
 #: MinHash bands and minima of each: of pairs at similarity 0.8 one in 37,000 shares no band, and fewer above it.
 BANDS, MINIMA = 20, 4
-#: Points and shingles of a group when buckets are compared; standard errors added to the Hamming distance that the
+#: Points, pairs looked at and shingles of a group when buckets are compared; standard errors added to the Hamming distance that the
 #: similarity stands for, so that of pairs at the similarity itself less than one in a million is passed over.
-BUCKET, GROUP_SHINGLES, MARGIN = 16_384, 1_000_000, 5.0
+BUCKET, COMPARED, GROUP_SHINGLES, MARGIN = 16_384, 2**26, 1_000_000, 5.0
 _ODD = np.random.default_rng(7).integers(0, 2**63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -261,11 +261,32 @@ def bits_for(similarity: float, bits: int, errors: float) -> int:
     return math.floor(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
 
-def as_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sets (sorted, without repeats) have this Jaccard similarity."""
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return shared >= similarity * (len(both) - shared) - 1e-9
+class Sets:
+    """Sets of 64-bit numbers (binary, 8 bytes each, none empty) side by side, numbered so that one set's similarity to
+    many others is counted at once."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        column = column.combine_chunks().cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        flat = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u8")
+        self.starts, self.sizes = (ends[:-1] - ends[0]) // 8, np.diff(ends) // 8
+        names, self.items = np.unique(flat, return_inverse=True)
+        self.marked = np.zeros(len(names), bool)
+
+    def similar(self, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of the others whose Jaccard similarity to this one is as high."""
+        mine = self.items[self.starts[one] : self.starts[one] + self.sizes[one]]
+        self.marked[mine] = True
+        found = []
+        pieces = np.cumsum(self.sizes[others]) // GROUP_SHINGLES  # a long row of others takes bounded room
+        for rows in np.split(others, np.flatnonzero(np.diff(pieces)) + 1):
+            sizes = self.sizes[rows]
+            at = np.cumsum(sizes) - sizes
+            places = np.repeat(self.starts[rows] - at, sizes) + np.arange(sizes.sum())
+            shared = np.add.reduceat(self.marked[self.items[places]], at, dtype=np.int64)
+            found.append(rows[shared >= similarity * (len(mine) + sizes - shared) - 1e-9])
+        self.marked[mine] = False
+        return np.concatenate(found)
 
 
 def apart(fps: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float):
@@ -280,7 +301,7 @@ def apart(fps: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float):
         mine = rest[at : at + 256]
         a, b = np.nonzero(distance(fps, fps[mine, None]) <= near)
         a = mine[a]
-        ok = (which[a] != which[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+        ok = (which[a] != which[b]) & ((a < b) | (which[b] == sizes.argmax())) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
         yield a[ok], b[ok]
 
 
@@ -309,12 +330,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
     def check(key, group):
         group = group.sort_by([("a", "ascending"), ("part", "ascending")])
         a, part, b = (group.column(c).to_numpy() for c in ("a", "part", "b"))
-        found, sets = np.zeros(len(a), bool), [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("s")]
+        found, sets = np.zeros(len(a), bool), Sets(group.column("s"))
         edges = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])))
         for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(a)], strict=True):
             lead = lo + int(np.flatnonzero(b[lo:hi] == a[lo:hi])[0])
-            for k in range(lo, hi):
-                found[k] = k != lead and as_similar(sets[lead], sets[k], similarity)
+            members = np.arange(lo, hi)
+            found[sets.similar(lead, members[members != lead], similarity)] = True
         tidy()
         return pa.table({"a": pa.array(a[found]), "b": pa.array(b[found])})
 
@@ -324,7 +345,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
 def verified_within(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The same where a node has many pairs: a forest of the similar ones. The pairs' clusters are found first, so that the
     sets of a cluster are brought together once, and those of a cluster beyond GROUP_SHINGLES in blocks of rows and columns.
-    Of the pairs between two trees one is compared at a time."""
+    Pairs within a tree are not compared."""
     pairs = scratch.settle(pairs, "simhash-dense")
     clusters = scratch.settle(components(pairs, "simhash-cluster"), "simhash-clusters")
     own = scratch.settle(sets.join(clusters, "node").dropDuplicates(["node"]), "simhash-sets")
@@ -342,21 +363,22 @@ def verified_within(pairs: DataFrame, sets: DataFrame, similarity: float, scratc
     def check(pairs, sets):
         nodes = sets.column("node").to_numpy()
         order = np.argsort(nodes)
-        nodes, own = nodes[order], sets.column("shingles").combine_chunks()
-        forest = list(range(len(nodes)))
-
-        def top(k: int) -> int:
-            while forest[k] != k:
-                forest[k] = k = forest[forest[k]]
-            return k
-
-        found = []
-        for a, b in zip(*(np.searchsorted(nodes, pairs.column(c).to_numpy()).tolist() for c in "ab"), strict=True):
-            x, y = top(a), top(b)
-            if x != y and as_similar(*(np.frombuffer(own[int(order[k])].as_buffer(), "<u8") for k in (a, b)), similarity):
-                forest[max(x, y)] = min(x, y)
-                found.append((a, b))
-        found = np.array(found, np.int64).reshape(-1, 2)
+        nodes, own, forest, found = nodes[order], Sets(sets.column("shingles")), Forest(len(order)), []
+        pairs = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
+        a, b = (np.searchsorted(nodes, pairs.column(c).to_numpy()) for c in "ab")
+        edges = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(a)], strict=True):
+            one, others = int(a[lo]), b[lo:hi]
+            others = others[forest.up[others] != forest.up[one]]
+            if not len(others):
+                continue
+            asked = order[others]  # places of the sets in their table
+            near = others[np.isin(asked, own.similar(int(order[one]), asked, similarity))]
+            near = near[np.unique(forest.up[near], return_index=True)[1]]  # one of each tree
+            forest.join(np.full(len(near), one), near)
+            forest.flatten()
+            found.append(np.stack([np.full(len(near), one), near], 1))
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         tidy()
         return pa.table({"a": pa.array(nodes[found[:, 0]]), "b": pa.array(nodes[found[:, 1]])})
 
@@ -428,20 +450,22 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
     left = left.withColumn("block", F.coalesce(block, F.lit(0)).cast("int")).withColumn("with", F.explode(with_))
     left = left.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "own.node", "own.n", "own.fp", "part", F.col("size").isNull().alias("small"))
     left = scratch.settle(left, "simhash-left")
-    cells = max(1, math.ceil(left.where("small").count() / BUCKET))
+    work = open_ones.where(F.col("m") <= BUCKET).agg(F.sum((F.col("m") - F.col("in_largest")) * F.col("m"))).first()[0] or 0
+    cells = max(1, math.ceil(left.where("small").count() / BUCKET), math.ceil(work / COMPARED))
     cell = F.when(F.col("small"), F.pmod(F.xxhash64("band", F.lit(5)), F.lit(cells))).otherwise(F.xxhash64("band", "lo", "hi"))
 
     def look(key, group):
         group = group.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
         band, lo, hi, node, n, part = (group.column(c).to_numpy() for c in ("band", "lo", "hi", "node", "n", "part"))
-        fps, found = group.column("fp").to_numpy().view(np.uint64), []
+        fps, found = group.column("fp").to_numpy().view(np.uint64), [np.zeros(0, np.int64)]
+        names, number = np.unique(node, return_inverse=True)  # names are in order, so numbers compare as nodes do
         edges = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
         for at, end in zip(edges.tolist(), [*edges[1:].tolist(), len(band)], strict=True):
             for a, b in apart(fps[at:end], n[at:end], part[at:end], similarity):
-                if len(a):
-                    pairs = np.stack([np.minimum(node[at + a], node[at + b]), np.maximum(node[at + a], node[at + b])], 1)
-                    found.append(np.unique(pairs, axis=0))
-        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                x, y = number[at + a], number[at + b]
+                found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+        found = np.stack(np.divmod(np.unique(np.concatenate(found)), max(1, len(names))), 1)
+        found = names[found]
         tidy()
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
