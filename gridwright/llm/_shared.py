@@ -21,13 +21,14 @@ NULL_ID = -(2**63)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is set, a local session, as in tests, gets a temporary one,
     and a cluster is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gridwright-")
         atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)  # the setting itself can't be changed while a session runs
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
