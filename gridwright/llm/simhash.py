@@ -342,47 +342,81 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
     return scratch.settle(members.union(leads).groupBy("cell").applyInArrow(check, "a long, b long"), "simhash-links")
 
 
-def verified_within(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The same where a node has many pairs: a forest of the similar ones. The pairs' clusters are found first, so that the
-    sets of a cluster are brought together once, and those of a cluster beyond GROUP_SHINGLES in blocks of rows and columns.
-    Pairs within a tree are not compared."""
-    pairs = scratch.settle(pairs, "simhash-dense")
-    clusters = scratch.settle(components(pairs, "simhash-cluster"), "simhash-clusters")
-    own = scratch.settle(sets.join(clusters, "node").dropDuplicates(["node"]), "simhash-sets")
-    sizes = own.groupBy("component").agg(F.sum("n").alias("total"))
-    cells = max(1, math.ceil((own.agg(F.sum("n")).first()[0] or 0) / GROUP_SHINGLES))
-    large = F.broadcast(sizes.where(F.col("total") > GROUP_SHINGLES).select("component", F.ceil(F.col("total") / GROUP_SHINGLES).cast("int").alias("r")))  # at most `cells`
-    of_a = pairs.groupBy("a").agg(F.count("*").alias("m")).join(clusters, F.col("a") == clusters["node"]).select("a", "component", "m")
-    tagged = even_join(pairs, scratch.settle(of_a, "simhash-leads"), "a", "b", "m").join(large, "component", "left")
-    place = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.col("r"))
-    cell = F.when(F.col("r").isNull(), F.pmod(F.xxhash64("component"), F.lit(cells))).otherwise(F.xxhash64("component", place("a"), place("b")))
-    tagged = scratch.settle(tagged.select(cell.alias("cell"), "a", "b"), "simhash-tagged")
-    asked = tagged.select(F.col("cell").alias("place"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    brought = asked.join(own.select("node", "shingles"), "node").select("place", "node", "shingles")
-
-    def check(pairs, sets):
-        nodes = sets.column("node").to_numpy()
-        order = np.argsort(nodes)
-        nodes, own, forest, found = nodes[order], Sets(sets.column("shingles")), Forest(len(order)), []
-        pairs = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
-        a, b = (np.searchsorted(nodes, pairs.column(c).to_numpy()) for c in "ab")
-        edges = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(a)], strict=True):
-            one, others = int(a[lo]), b[lo:hi]
-            others = others[forest.up[others] != forest.up[one]]
-            if not len(others):
-                continue
-            asked = order[others]  # places of the sets in their table
-            near = others[np.isin(asked, own.similar(int(order[one]), asked, similarity))]
-            near = near[np.unique(forest.up[near], return_index=True)[1]]  # one of each tree
-            forest.join(np.full(len(near), one), near)
-            forest.flatten()
-            found.append(np.stack([np.full(len(near), one), near], 1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+def cells_of(frame: DataFrame, key: str, node: str, other, large, cells: int) -> DataFrame:
+    """frame with block, cell, lo and hi: where rows of one key are compared. `large`: key, p and q of the keys that are cut
+    into blocks: rows of which `other` holds into p, the rest into q; a pair of blocks meets unless both are of the rest.
+    The other keys share `cells` cells."""
+    frame = frame.join(F.broadcast(large.select(key, "p", "q")), key, "left")
+    spread = lambda n: F.pmod(F.xxhash64(node, F.lit(1)), n)
+    block = F.when(F.col("p").isNull(), 0).when(other, spread(F.col("p"))).otherwise(F.col("p") + spread(F.col("q"))).cast("int")
+    with_ = F.when(F.col("p").isNull(), F.array(F.lit(0))).when(other, F.sequence(F.lit(0), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") - 1))
+    frame = frame.withColumn("block", block).withColumn("with", F.explode(with_)).withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
+    cell = F.when(F.col("p").isNull(), F.pmod(F.xxhash64(key, F.lit(5)), F.lit(cells))).otherwise(F.xxhash64(key, "lo", "hi"))
+    return frame.withColumn("cell", cell).drop("p", "q", "with")
+
+
+def runs(*columns: np.ndarray):
+    """(first, end) of each run of equal rows of these columns."""
+    n = len(columns[0])
+    changed = np.zeros(max(0, n - 1), bool)
+    for c in columns:
+        changed |= c[1:] != c[:-1]
+    edges = np.flatnonzero(np.append(True, changed)).tolist()
+    return zip(edges, [*edges[1:], n], strict=True)
+
+
+def verified_within(ties: DataFrame, points: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """ties: links that connect all candidates. A forest of the similar ones among the nodes that they connect, which share
+    a band and are not of one part. The sets of a cluster are brought together once, and those of a cluster beyond
+    GROUP_SHINGLES in pairs of blocks, where those of its largest part don't meet each other. Pairs are made where they
+    are compared, so what is written grows with the nodes."""
+    clusters = scratch.settle(components(scratch.settle(ties, "simhash-dense"), "simhash-cluster"), "simhash-clusters")
+    named = clusters.join(points, "node").join(parts.withColumnRenamed("component", "part"), "node", "left")
+    named = scratch.settle(named.select("node", F.col("component").alias("cluster"), F.coalesce("part", "node").alias("part"), "n", "fp", "bands"), "simhash-named")
+    weight = F.greatest("n", F.lit(GROUP_SHINGLES // BUCKET))  # so that a cell's rows are bounded too
+    sizes = named.groupBy("cluster", "part").agg(F.sum(weight).alias("w")).groupBy("cluster").agg(F.max(F.struct("w", "part")).alias("most"), F.sum("w").alias("total"))
+    sizes = scratch.settle(sizes.select("cluster", F.col("most.part").alias("largest"), F.col("most.w").alias("in_largest"), "total"), "simhash-sizes")
+    cells = max(1, math.ceil((sizes.agg(F.sum("total")).first()[0] or 0) / GROUP_SHINGLES))
+    in_blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / GROUP_SHINGLES)).cast("int")
+    large = sizes.where(F.col("total") > GROUP_SHINGLES)  # at most `cells`
+    large = large.select("cluster", "largest", in_blocks(F.col("total") - F.col("in_largest")).alias("p"), in_blocks(F.col("in_largest")).alias("q"))
+    named = named.join(F.broadcast(large.select("cluster", "largest")), "cluster", "left")
+    placed = cells_of(named, "cluster", "node", F.col("part") != F.col("largest"), large, cells)
+    own = scratch.settle(sets.join(clusters, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    brought = placed.join(own.select("node", "shingles"), "node").select("cell", "cluster", "lo", "hi", "block", "node", "part", "n", "fp", "bands", "shingles")
+
+    def check(key, group):
+        group = group.sort_by([("cluster", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("node", "ascending")])
+        cluster, lo, hi, block, node, part, n = (group.column(c).to_numpy() for c in ("cluster", "lo", "hi", "block", "node", "part", "n"))
+        fps, own, found = group.column("fp").to_numpy().view(np.uint64), Sets(group.column("shingles")), [np.zeros((0, 2), np.int64)]
+        kept = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        for at, end in runs(cluster, lo, hi):
+            _, first, which = np.unique(part[at:end], return_index=True, return_inverse=True)
+            forest = Forest(end - at)
+            forest.up = first[which]  # nodes of one part are connected already
+            for a, b in apart(fps[at:end], n[at:end], part[at:end], similarity):
+                if lo[at] != hi[at]:  # pairs within a block are compared where it meets itself, or are of the largest part
+                    across = block[at + a] != block[at + b]
+                    a, b = a[across], b[across]
+                if not len(a):
+                    continue
+                for i, j in runs(a):
+                    one, others = int(a[i]), b[i:j]
+                    others = others[forest.up[others] != forest.up[one]]
+                    others = others[(kept[at + others] == kept[at + one]).any(1)]
+                    if not len(others):
+                        continue
+                    near = own.similar(at + one, at + others, similarity) - at
+                    if len(near):
+                        near = near[np.unique(forest.up[near], return_index=True)[1]]  # one of each tree
+                        forest.join(np.full(len(near), one), near)
+                        forest.flatten()
+                        found.append(np.stack([np.full(len(near), one), near], 1) + at)
+        found = np.concatenate(found)
         tidy()
-        return pa.table({"a": pa.array(nodes[found[:, 0]]), "b": pa.array(nodes[found[:, 1]])})
+        return pa.table({"a": pa.array(node[found[:, 0]]), "b": pa.array(node[found[:, 1]])})
 
-    return scratch.settle(tagged.groupBy("cell").cogroup(brought.groupBy("place")).applyInArrow(check, "a long, b long"), "simhash-links")
+    return scratch.settle(brought.groupBy("cell").applyInArrow(check, "a long, b long"), "simhash-links")
 
 
 def similar_components(df: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -442,35 +476,33 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
     open_ones = scratch.settle(open_ones, "simhash-open")
     left = even_join(grouped, open_ones, "band", "own", "m")
     # the largest component's nodes in blocks of their own; pairs of blocks in which others take part
-    q, p = (F.ceil(c / BUCKET).cast("int") for c in (F.col("in_largest"), F.col("size") - F.col("in_largest")))
-    left = left.join(F.broadcast(open_ones.where(F.col("m") > BUCKET).select("band", F.col("m").alias("size"))), "band", "left")  # at most one for each BUCKET rows
-    other = F.col("part") != F.col("largest")
-    block = F.when(other, F.pmod(F.xxhash64("own.node", F.lit(1)), p)).otherwise(p + F.pmod(F.xxhash64("own.node", F.lit(1)), q))
-    with_ = F.when(F.col("size").isNull(), F.array(F.lit(0))).when(other, F.sequence(F.lit(0), p + q - 1)).otherwise(F.sequence(F.lit(0), p - 1))
-    left = left.withColumn("block", F.coalesce(block, F.lit(0)).cast("int")).withColumn("with", F.explode(with_))
-    left = left.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "own.node", "own.n", "own.fp", "part", F.col("size").isNull().alias("small"))
-    left = scratch.settle(left, "simhash-left")
-    work = open_ones.where(F.col("m") <= BUCKET).agg(F.sum((F.col("m") - F.col("in_largest")) * F.col("m"))).first()[0] or 0
-    cells = max(1, math.ceil(left.where("small").count() / BUCKET), math.ceil(work / COMPARED))
-    cell = F.when(F.col("small"), F.pmod(F.xxhash64("band", F.lit(5)), F.lit(cells))).otherwise(F.xxhash64("band", "lo", "hi"))
+    q, p = (F.greatest(F.lit(1), F.ceil(c / BUCKET)).cast("int") for c in (F.col("in_largest"), F.col("m") - F.col("in_largest")))
+    large = open_ones.where(F.col("m") > BUCKET).select("band", p.alias("p"), q.alias("q"))  # at most one for each BUCKET rows
+    total = open_ones.where(F.col("m") <= BUCKET).agg(F.sum("m"), F.sum((F.col("m") - F.col("in_largest")) * F.col("m"))).first()
+    cells = max(1, math.ceil((total[0] or 0) / BUCKET), math.ceil((total[1] or 0) / COMPARED))
+    left = cells_of(left, "band", "own.node", F.col("part") != F.col("largest"), large, cells)
+    left = left.select("cell", "band", "lo", "hi", "block", "own.node", "own.n", "own.fp", "part")
 
     def look(key, group):
         group = group.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
-        band, lo, hi, node, n, part = (group.column(c).to_numpy() for c in ("band", "lo", "hi", "node", "n", "part"))
-        fps, found = group.column("fp").to_numpy().view(np.uint64), [np.zeros(0, np.int64)]
-        names, number = np.unique(node, return_inverse=True)  # names are in order, so numbers compare as nodes do
-        edges = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
-        for at, end in zip(edges.tolist(), [*edges[1:].tolist(), len(band)], strict=True):
+        band, lo, hi, block, node, n, part = (group.column(c).to_numpy() for c in ("band", "lo", "hi", "block", "node", "n", "part"))
+        fps, found = group.column("fp").to_numpy().view(np.uint64), [np.zeros((0, 2), np.int64)]
+        for at, end in runs(band, lo, hi):
+            forest = Forest(end - at)  # candidates go out as a forest, not as pairs: what is written grows with the nodes
             for a, b in apart(fps[at:end], n[at:end], part[at:end], similarity):
-                x, y = number[at + a], number[at + b]
-                found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
-        found = np.stack(np.divmod(np.unique(np.concatenate(found)), max(1, len(names))), 1)
-        found = names[found]
+                if lo[at] != hi[at]:
+                    across = block[at + a] != block[at + b]
+                    a, b = a[across], b[across]
+                forest.join(a, b)
+            forest.flatten()
+            tied = np.flatnonzero(forest.up != np.arange(end - at))
+            found.append(np.stack([node[at + tied], node[at + forest.up[tied]]], 1))
+        found = np.concatenate(found)
         tidy()
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    pairs = left.withColumn("cell", cell).groupBy("cell").applyInArrow(look, "a long, b long").distinct()
-    second = verified_within(pairs, sets, similarity, scratch)
+    ties = left.groupBy("cell").applyInArrow(look, "a long, b long").distinct()
+    second = verified_within(ties, points, parts, sets, similarity, scratch)
     found = components(first.union(second), "simhash-similar")
     scratch.clear()
     return rows.select("key", "hash", "node"), found

@@ -103,3 +103,32 @@ def test_edits_of_several_words(spark):
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {i for i, t in rows if i % 2 == 0 or jaccard(t, rows[i - 1][1]) < 0.8}
     assert 10 < apart < 120 and kept == want
+
+
+def test_what_is_written_grows_with_the_texts_of_a_large_group(spark, monkeypatch):
+    """Texts that share most shingles, but less than 0.8 of them: comparing all pairs writes no row for each pair."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows, written = [], {}
+    for k in range(150):
+        own = list(base)
+        for at in rng.sample(range(0, 200, 6), 5):
+            own[at] = f"x{len(rows)}_{at}"
+        rows.append((len(rows), " ".join(own)))
+        if k % 10 == 0:
+            own[rng.randrange(200)] = "new"
+            rows.append((len(rows), " ".join(own)))
+    settle = simhash.Scratch.settle
+
+    def counted(self, df, label):
+        found = settle(self, df, label)
+        written[label] = max(written.get(label, 0), found.count())
+        return found
+
+    monkeypatch.setattr(simhash.Scratch, "settle", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows]
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert kept == {i for i, _ in rows} - {j for _, j in links} and len(links) == 15
+    assert max(written.values()) <= 25 * len(rows), written
