@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm._shared import discard, settled
+from gridwright.llm._shared import Scratch, discard, settled
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -26,12 +26,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
+def components(links: DataFrame, label: str = "components", scratch: Scratch | None = None) -> DataFrame:
     """links: columns a, b (long). Returns node, component: the smallest node that can be reached.
 
     Only nodes with a link to another come out. Every round writes a table, so a lost executor costs one round, and
     deletes the one before; the rounds grow with the logarithm of the longest path. Nothing but two sums a round reaches
-    the driver.
+    the driver. The last table goes when scratch is cleared, and stays without one.
     """
     now, path = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
     seen = None
@@ -41,5 +41,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         now, path = after, made
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == seen:
+            if scratch:
+                scratch.paths.append(path)
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         seen = sums

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm._shared import Scratch, bounded_sample, even_join, fresh, key_of, settle, small_batches, text_of, tidy
+from gridwright.llm._shared import Scratch, bounded_sample, discard, even_join, fresh, key_of, release, settle, settled, small_batches, text_of, tidy
 from gridwright.llm.components import components
 
 SEED = 42
@@ -305,17 +305,16 @@ def apart(fps: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float):
         yield a[ok], b[ok]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """pairs: distinct a, b (nodes). Those whose sets (node, n, shingles) are as similar: the members of each a are brought
-    to it in groups of bounded size."""
+def verified(pairs: DataFrame, sets_of, similarity: float, scratch: Scratch) -> DataFrame:
+    """pairs: distinct a, b (nodes). Those whose sets are as similar: the members of each a are brought to it in groups of
+    bounded size. sets_of: gives node, n and shingles of a table's nodes."""
     pairs = scratch.settle(pairs, "simhash-pairs")
+    release(pairs.sparkSession)
     of_a = scratch.settle(pairs.groupBy("a").agg(F.count("*").alias("m")), "simhash-leads")
-    # written, so that its size is known when the join is planned: sets are exchanged only if there are too many nodes to send
-    nodes = scratch.settle(pairs.select(F.col("b").alias("node")).union(of_a.select(F.col("a").alias("node"))).distinct(), "simhash-asked")
-    own = scratch.settle(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
-    of_b = pairs.groupBy("b").agg(F.count("*").alias("k"))
-    known = scratch.settle(own.join(of_b, own["node"] == of_b["b"]).select("b", "k", F.col("n").alias("nb"), F.col("shingles").alias("s")), "simhash-members")
-    members = even_join(pairs, known, "b", "a", "k")
+    of_b = scratch.settle(pairs.groupBy("b").agg(F.count("*").alias("k")), "simhash-asked")
+    own = scratch.settle(sets_of(of_b.select(F.col("b").alias("node")).union(of_a.select(F.col("a").alias("node"))).distinct()), "simhash-sets")
+    known = own.join(of_b, own["node"] == of_b["b"]).select("b", "k", F.col("n").alias("nb"), F.col("shingles").alias("s"))
+    members = even_join(pairs, known.drop("nb"), "b", "a", "k")
     total = known.agg(F.sum(F.col("k") * F.col("nb"))).first()[0] or 0
     cells = max(1, math.ceil(total / GROUP_SHINGLES))
     leads = own.join(of_a, own["node"] == of_a["a"]).select("a", F.col("n").alias("na"), F.col("shingles").alias("s"), "m")
@@ -365,12 +364,12 @@ def runs(*columns: np.ndarray):
     return zip(edges, [*edges[1:], n], strict=True)
 
 
-def verified_within(ties: DataFrame, points: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def verified_within(ties: DataFrame, points: DataFrame, parts: DataFrame, sets_of, similarity: float, scratch: Scratch) -> DataFrame:
     """ties: links that connect all candidates. A forest of the similar ones among the nodes that they connect, which share
     a band and are not of one part. The sets of a cluster are brought together once, and those of a cluster beyond
     GROUP_SHINGLES in pairs of blocks, where those of its largest part don't meet each other. Pairs are made where they
     are compared, so what is written grows with the nodes."""
-    clusters = scratch.settle(components(scratch.settle(ties, "simhash-dense"), "simhash-cluster"), "simhash-clusters")
+    clusters = scratch.settle(components(scratch.settle(ties, "simhash-dense"), "simhash-cluster", scratch), "simhash-clusters")
     named = clusters.join(points, "node").join(parts.withColumnRenamed("component", "part"), "node", "left")
     named = scratch.settle(named.select("node", F.col("component").alias("cluster"), F.coalesce("part", "node").alias("part"), "n", "fp", "bands"), "simhash-named")
     weight = F.greatest("n", F.lit(GROUP_SHINGLES // BUCKET))  # so that a cell's rows are bounded too
@@ -382,7 +381,7 @@ def verified_within(ties: DataFrame, points: DataFrame, parts: DataFrame, sets:
     large = large.select("cluster", "largest", in_blocks(F.col("total") - F.col("in_largest")).alias("p"), in_blocks(F.col("in_largest")).alias("q"))
     named = named.join(F.broadcast(large.select("cluster", "largest")), "cluster", "left")
     placed = cells_of(named, "cluster", "node", F.col("part") != F.col("largest"), large, cells)
-    own = scratch.settle(sets.join(clusters, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    own = scratch.settle(sets_of(clusters.select("node")), "simhash-sets")
     brought = placed.join(own.select("node", "shingles"), "node").select("cell", "cluster", "lo", "hi", "block", "node", "part", "n", "fp", "bands", "shingles")
 
     def check(key, group):
@@ -419,35 +418,53 @@ def verified_within(ties: DataFrame, points: DataFrame, parts: DataFrame, sets:
     return scratch.settle(brought.groupBy("cell").applyInArrow(check, "a long, b long"), "simhash-links")
 
 
-def similar_components(df: DataFrame, id: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, parts): doc key, text hash and node of each row; node and component of the nodes that are linked.
+def similar_components(df: DataFrame, id: str, text: str, width: int, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows, parts): node, its smallest row (key, text hash, and c, how often that row occurs); node and component of the
+    nodes that are linked. They are there until scratch is cleared.
 
     A node is a set of shingles. Candidates are: nodes of one fingerprint, the links of the vantage-point trees, and, as
     the trees can't prune at the distance that such a similarity allows, nodes that share one of BANDS MinHash bands. At
     first each node is compared with the smallest of its bucket. Buckets whose nodes are all connected then are done; in
     the others nodes of different components are compared, the largest component's not with each other.
+
+    Shingles take more room than texts and most nodes have no candidate, so none are kept: those of the nodes to be
+    compared are made from the texts again.
     """
     source = df.select(key_of(id).alias("key"), F.xxhash64(text).alias("hash"), text_of(text).alias("text"))
 
-    names = ["key", "hash", "node", "n", "fp", "bands", "shingles"]
-
-    def run(batches):
+    def in_slices(batches, make, names):
         for whole in batches:
             for at in range(0, len(whole), 200):  # a text's shingles take more room than the text
                 batch = whole.slice(at, 200)
-                own = [shingles(t, width) for t in batch.column(2).to_pylist()]
-                fps = np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64)
-                raw = [x.astype("<u8").tobytes() for x in own]
-                nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
-                kept = pa.array([bands(x).view(np.int64) for x in own], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), pa.array(fps), kept, pa.array(raw, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays(make(batch, [shingles(t, width) for t in batch.column("text").to_pylist()]), names=names)
         tidy()
 
+    def marks(batch, own):
+        fps = np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64)
+        nodes = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in own], np.uint64).view(np.int64)
+        kept = pa.array([bands(x).view(np.int64) for x in own], pa.list_(pa.int64()))
+        return [batch.column("key"), batch.column("hash"), pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), pa.array(fps), kept]
+
+    def members(batch, own):
+        return [batch.column("node"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())]
+
     small_batches(df.sparkSession)
-    scratch = Scratch(df.sparkSession)
-    rows = settle(source.mapInArrow(run, "key long, hash long, node long, n long, fp long, bands array<long>, shingles binary"), "simhash-rows")
-    sets = rows.select("node", "n", "shingles")
-    points = scratch.settle(rows.select("node", "n", "fp", "bands").dropDuplicates(["node"]).where("n > 0"), "simhash-nodes")
+    marked = source.mapInArrow(lambda batches: in_slices(batches, marks, ["key", "hash", "node", "n", "fp", "bands"]), "key long, hash long, node long, n long, fp long, bands array<long>")
+    marked, path = settled(marked, "simhash-rows")
+    # of equal rows one; of a node's rows the smallest
+    rows = marked.groupBy("node", "key", "hash").agg(F.count("*").alias("c")).groupBy("node").agg(F.min(F.struct("key", "hash", "c")).alias("row"))
+    rows = scratch.settle(rows.select("node", "row.key", "row.hash", "row.c"), "simhash-of-node")
+    points = scratch.settle(marked.select("node", "n", "fp", "bands").dropDuplicates(["node"]).where("n > 0"), "simhash-nodes")
+    discard(df.sparkSession, path)
+    repeated = rows.where("c > 1").limit(1).count() > 0
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        # written, so that its size is known when the join is planned: texts are exchanged only if there are too many nodes to send
+        asked = scratch.settle(rows.join(nodes, "node", "left_semi").select("node", "key", "hash"), "simhash-asked")
+        texts = source.join(asked, ["key", "hash"]).select("node", "text")
+        sets = texts.mapInArrow(lambda batches: in_slices(batches, members, ["node", "n", "shingles"]), "node long, n long, shingles binary")
+        return sets.dropDuplicates(["node"]) if repeated else sets
+
     near = bits_for(similarity, 64, MARGIN)
 
     def may_be(x: str, y: str):
@@ -455,20 +472,25 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
         return (F.least(n, m) >= similarity * F.greatest(n, m)) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= near)
 
     # candidates by fingerprint
-    of_fp = scratch.settle(points.groupBy("fp").agg(F.min(F.struct("node", "n", "fp")).alias("lead"), F.count("*").alias("m")), "simhash-fps")
     own = F.struct("node", "n", "fp").alias("own")
-    same = even_join(points.select("fp", own), of_fp.select("fp", "lead", "m"), "fp", "own", "m").where("own.node <> lead.node")
+    of_fp = scratch.settle(points.groupBy("fp").agg(F.min(F.struct("node", "n", "fp")).alias("lead"), F.count("*").alias("m")), "simhash-fps")
+    same = even_join(points.select("fp", own), of_fp.where("m > 1").select("fp", "lead", "m"), "fp", "own", "m").where("own.node <> lead.node")
     edges = hamming_links(of_fp.select("fp"), 3)
     tied = edges.join(of_fp.select(F.col("fp").alias("a"), F.col("lead").alias("own")), "a").join(of_fp.select(F.col("fp").alias("b"), "lead"), "b")
-    # candidates by bands
-    placed = scratch.settle(points.select(F.explode("bands").alias("band"), own), "simhash-bands")
-    buckets = placed.groupBy("band").agg(F.min("own").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    shared = scratch.settle(even_join(placed, scratch.settle(buckets, "simhash-buckets"), "band", "own", "m"), "simhash-shared")
-    led = shared.where("own.node <> lead.node")
+    # candidates by bands: most bands have one node, so they are counted before anything else goes along
+    placed = points.select(F.explode("bands").alias("band"), "node", "n", "fp")
+    counted = placed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    counted = scratch.settle(counted, "simhash-counted")
+    release(df.sparkSession)
+    shared = scratch.settle(even_join(placed, counted, "band", "node", "m").select("band", own), "simhash-shared")
+    release(df.sparkSession)
+    buckets = scratch.settle(shared.groupBy("band").agg(F.min("own").alias("lead"), F.count("*").alias("m")), "simhash-buckets")
+    led = even_join(shared, buckets, "band", "own", "m").where("own.node <> lead.node")
     every = same.select("lead", "own").union(tied.select("lead", "own")).union(led.select("lead", "own")).where(may_be("lead", "own"))
-    first = verified(every.select(F.least("lead.node", "own.node").alias("a"), F.greatest("lead.node", "own.node").alias("b")).distinct(), sets, similarity, scratch)
+    first = verified(every.select(F.least("lead.node", "own.node").alias("a"), F.greatest("lead.node", "own.node").alias("b")).distinct(), sets_of, similarity, scratch)
+    release(df.sparkSession)
     # buckets that are not connected by these
-    parts = scratch.settle(components(first, "simhash-similar"), "simhash-parts")
+    parts = scratch.settle(components(first, "simhash-similar", scratch), "simhash-parts")
     grouped = shared.join(parts, F.col("own.node") == parts["node"], "left").select("band", "own", F.coalesce("component", "own.node").alias("part"))
     grouped = scratch.settle(grouped, "simhash-grouped")
     sizes = grouped.groupBy("band", "part").agg(F.count("*").alias("k"))
@@ -501,11 +523,10 @@ def similar_components(df: DataFrame, id: str, text: str, width: int, similarity
         tidy()
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
+    release(df.sparkSession)
     ties = left.groupBy("cell").applyInArrow(look, "a long, b long").distinct()
-    second = verified_within(ties, points, parts, sets, similarity, scratch)
-    found = components(first.union(second), "simhash-similar")
-    scratch.clear()
-    return rows.select("key", "hash", "node"), found
+    second = verified_within(ties, points, parts, sets_of, similarity, scratch)
+    return rows, components(first.union(second), "simhash-similar", scratch)
 
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -515,9 +536,14 @@ def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     exactly for every candidate (see similar_components). Null texts count as empty, and all texts without words are copies
     of each other. Texts are read whole, however long they are. Columns of any name stay; an empty df stays empty.
     """
-    rows, parts = similar_components(df, id, text, width, similarity)
-    group = rows.join(parts, "node", "left").select(F.coalesce("component", "node").alias("group"), F.struct("key", "hash").alias("row"))
+    scratch = Scratch(df.sparkSession)
+    rows, parts = similar_components(df, id, text, width, similarity, scratch)
+    group = rows.join(parts, "node", "left").select(F.coalesce("component", "node").alias("group"), F.struct("key", "hash", "c").alias("row"))
     key, hashed = fresh(df, "_key", "_hash")
-    stays = group.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.key").alias(key), F.col("row.hash").alias(hashed))
+    stays = settle(group.groupBy("group").agg(F.min("row").alias("row")).select(F.col("row.key").alias(key), F.col("row.hash").alias(hashed), "row.c"), "simhash-stays")
+    scratch.clear()
     keyed = df.withColumn(key, key_of(id)).withColumn(hashed, F.xxhash64(text))
-    return keyed.join(stays, [key, hashed], "left_semi").dropDuplicates([key, hashed]).select(df.columns)
+    found = keyed.join(stays.where("c = 1").select(key, hashed), [key, hashed], "left_semi")
+    if stays.where("c > 1").limit(1).count():  # only rows that occur more than once are exchanged to leave one
+        found = found.union(keyed.join(stays.where("c > 1").select(key, hashed), [key, hashed], "left_semi").dropDuplicates([key, hashed]))
+    return found.select(df.columns)

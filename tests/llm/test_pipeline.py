@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -6,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 from gridwright.llm import simhash
+from gridwright.llm._shared import shared_dir
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -132,3 +134,15 @@ def test_what_is_written_grows_with_the_texts_of_a_large_group(spark, monkeypatc
     links = [(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert kept == {i for i, _ in rows} - {j for _, j in links} and len(links) == 15
     assert max(written.values()) <= 25 * len(rows), written
+
+
+def test_near_duplicates_leave_only_the_chosen_rows_on_disk(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(400))) for i in range(200)]
+    rows += [(500, rows[7][1]), (500, rows[7][1]), (7, rows[7][1]), (None, rows[8][1]), (None, rows[8][1])]
+    home = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in home.rglob("*") if f.is_file())
+    before = size()
+    found = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert size() - before < sum(len(t) for _, t in rows) / 10
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted([x for x in rows[:200] if x[0] != 8] + [(None, rows[8][1])], key=str)
