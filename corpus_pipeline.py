@@ -30,7 +30,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with a passage of the benchmark go."""
     found = contamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     (key,) = fresh(docs, "_key")
-    hit = found.select(key_of("doc_id").alias(key)).distinct()
+    # written, so that its size is known when the join is planned: texts are exchanged only if there are too many hits to send
+    hit = settle(found.select(key_of("doc_id").alias(key)).distinct(), "pipeline-contaminated")
     return docs.withColumn(key, key_of("doc_id")).join(hit, key, "left_anti").select(docs.columns)
 
 

@@ -146,3 +146,10 @@ def test_near_duplicates_leave_only_the_chosen_rows_on_disk(spark):
     found = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert size() - before < sum(len(t) for _, t in rows) / 10
     assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted([x for x in rows[:200] if x[0] != 8] + [(None, rows[8][1])], key=str)
+
+
+def test_decontamination_exchanges_no_texts_for_few_hits(spark, tables):
+    home, docs, _ = tables
+    found = p.drop_contaminated(spark, spark.read.parquet(f"{home}/documents.parquet"), home)
+    assert {r["doc_id"] for r in found.collect()} == {i for i, *_ in docs} - {402}
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
